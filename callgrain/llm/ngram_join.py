@@ -7,11 +7,12 @@ reach the threshold share a shingle among the first ``size - ceil(threshold * si
 1. documents with equal sets fall into one class; only its smallest id goes on;
 2. classes with equal prefix and size fall into one group, and only the group's id is posted under each shingle of its prefix;
 3. a shingle's list of groups gives group pairs of compatible sizes, each once; groups are expanded to their members;
-4. lists of up to ``LIST`` members give all their pairs. A longer list gives only pairs with a pivot; the exact distance to the pivot then
-   deals its members into overlapping rings one threshold wide. As Jaccard distance is a metric, members that link lie in a common ring,
-   so rings replace the list and the loop goes on, with twice as many pivots, until no list is left: no link is lost, and a group of near
+4. lists of up to ``LIST`` members give all their pairs. A longer list gives only pairs with a pivot. What turns out to be in the pivot's
+   component leaves the list; the others go on with new pivots, twice as many each round, together with those of the component that could
+   still link with them by a metric bound (512 parity bits of each set). So no link between components is lost, and a large group of near
    copies ends with its first pivot instead of emitting all its pairs;
-5. every pair is verified on the whole sets; linked pairs give components.
+5. sizes and parity bits sift the pairs; the others are verified on the whole sets, first one for each document, then those whose ends are
+   in different components still. Linked pairs give components.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .base import joined, mixed, schema, signed, staged, text_chunks, unstage, word_hashes
+from .base import WINDOW, joined, mixed, schema, signed, staged, text_chunks, unstage, word_hashes
 from .components import components
 
-SKETCH, SLICES, LIST = 1 << 20, 64, 64
+SKETCH, SLICES, LIST = 1 << 22, 64, 64
 
 
 def shingles(texts: list[bytes], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -56,7 +57,7 @@ def shingles(texts: list[bytes], width: int) -> Iterator[tuple[np.ndarray, np.nd
 def _sketches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH, np.uint32)
-        for _, texts in text_chunks(batches):
+        for _, texts in text_chunks(batches, size=3 * WINDOW):
             parts = [h for h, _ in shingles(texts, width)]
             counts += np.bincount((np.concatenate(parts) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
         if counts.any():
@@ -76,7 +77,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequency_levels(docs: DataFrame, width: int) -> np.ndarray:
-    """One byte for each of the sketch's counters: 0 for what chance explains, else the logarithm of the count. 1 MB at every input size."""
+    """One byte for each of the sketch's counters: 0 for what chance explains, else the logarithm of the count. 4 MB at every input size."""
     kind = schema("slice int, counts binary")
     rows = docs.mapInArrow(_sketches(width), kind).repartition(SLICES, "slice").mapInArrow(_summed, kind).collect()
     counts = np.zeros(SKETCH, np.float64)
@@ -87,21 +88,38 @@ def frequency_levels(docs: DataFrame, width: int) -> np.ndarray:
     return np.clip(level, 0, 255).astype(np.uint8)
 
 
+BITS = [f"b{i}" for i in range(8)]
+
+
+def _sum(x: np.ndarray, salt: int) -> int:
+    with np.errstate(over="ignore"):
+        return int(signed(mixed(x ^ np.uint64(salt)).sum(dtype=np.uint64, keepdims=True))[0])
+
+
 def _described(width: int, percent: int, levels: np.ndarray):
-    """doc_id, set size, a 128-bit signature of the set, and the prefix in the global order."""
+    """doc_id, set size, a 128-bit signature of the set, the prefix in the global order and its signature, and 512 parity bits of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_chunks(batches):
-            n, one, two, prefix = [], [], [], []
-            for h, size in shingles(texts, width):
+            n, one, two, p1, p2, prefix = [], [], [], [], [], []
+            bits = np.zeros((len(texts), 512), np.uint8)
+            for i, (h, size) in enumerate(shingles(texts, width)):
                 n.append(len(h))
-                with np.errstate(over="ignore"):
-                    one.append(int(signed(mixed(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64, keepdims=True))[0]))
-                    two.append(int(signed(mixed(h + np.uint64(0x1234567)).sum(dtype=np.uint64, keepdims=True))[0]))
+                one.append(_sum(h, 0xA5A5A5A5A5A5A5A5))
+                two.append(_sum(h, 0x0123456789ABCDEF))
                 keep = len(h) - -(-len(h) * percent // 100) + 1 if len(h) else 0
-                order = np.lexsort((h, -size, levels[(h & np.uint64(SKETCH - 1)).astype(np.int64)]))[:keep]
-                prefix.append(h[order].tobytes())
-            yield pa.RecordBatch.from_pydict({"doc_id": part["doc_id"].cast(pa.int64()), "n": pa.array(n, pa.int64()), "one": pa.array(one, pa.int64()), "two": pa.array(two, pa.int64()), "prefix": pa.array(prefix, pa.binary())})
+                first = h[np.lexsort((h, -size, levels[(h & np.uint64(SKETCH - 1)).astype(np.int64)]))[:keep]]
+                p1.append(_sum(first, 0xA5A5A5A5A5A5A5A5))
+                p2.append(_sum(first, 0x0123456789ABCDEF))
+                prefix.append(first.tobytes())
+                bits[i] = np.bincount((h >> np.uint64(55)).astype(np.int64), minlength=512) & 1
+            words = np.packbits(bits, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_pydict(
+                {"doc_id": part["doc_id"].cast(pa.int64())}
+                | {k: pa.array(v, pa.int64()) for k, v in (("n", n), ("one", one), ("two", two), ("p1", p1), ("p2", p2))}
+                | {"prefix": pa.array(prefix, pa.binary())}
+                | {k: pa.array(np.ascontiguousarray(words[:, i])) for i, k in enumerate(BITS)}
+            )
 
     return run
 
@@ -177,9 +195,7 @@ def _pairs(percent: int, pivots: int):
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_chunks(batches):
-            sets = [h for h, _ in shingles(texts, width)]
-            marks = [int(signed(mixed(h).sum(dtype=np.uint64, keepdims=True))[0]) for h in sets]
-            yield pa.RecordBatch.from_pydict({"doc": part["doc_id"].cast(pa.int64()), "mark": pa.array(marks, pa.int64()), "items": pa.array([h.tobytes() for h in sets], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"doc": part["doc_id"].cast(pa.int64()), "items": pa.array([h.tobytes() for h, _ in shingles(texts, width)], pa.binary())})
 
     return run
 
@@ -195,83 +211,110 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             same = int((y[np.minimum(at, len(y) - 1)] == x).sum())
             both.append(same)
             union.append(len(x) + len(y) - same)
-        yield pa.RecordBatch.from_pydict({"key": batch["key"], "a": batch["a"], "b": batch["b"], "same": pa.array(both, pa.int64()), "union": pa.array(union, pa.int64())})
+        yield pa.RecordBatch.from_pydict({"a": batch["a"], "b": batch["b"], "same": pa.array(both, pa.int64()), "union": pa.array(union, pa.int64())})
 
 
 PAIR = "key long, a long, b long"
 
 
 def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, n_links.
+    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id.
 
-    Words are runs without ASCII white space, A-Z folded. Sets link when 100 * intersection >= percent * union; n_links counts the other
-    distinct sets that a row's set links with. component_id is the smallest doc_id reachable, itself included.
+    Words are runs without ASCII white space, A-Z folded. Sets link when 100 * intersection >= percent * union. component_id is the
+    smallest doc_id reachable, itself included.
 
     Nulls and empty texts: the set is empty and links with nothing, component_id is the row's own doc_id. Rows that share a doc_id are one
     document and thereby linked. Rows with a null doc_id keep their size, have a null component and take no part. An empty table gives no
     rows; other columns are ignored, whatever their names. Very long texts are hashed in windows.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     levels = frequency_levels(docs, width)
-    all_docs = staged(docs.mapInArrow(_described(width, percent, levels), schema("doc_id long, n long, one long, two long, prefix binary")))
-    live = all_docs.where("n > 0 and doc_id is not null")
-    classes = staged(live.groupBy("one", "two", "n").agg(F.min("doc_id").alias("doc")))
-    members = classes.join(live.withColumnRenamed("doc_id", "doc"), ["one", "two", "n", "doc"]).dropDuplicates(["one", "two", "n", "doc"]).select("doc", "n", "prefix")
-    grouped = staged(members.withColumns({"p1": F.xxhash64("prefix", F.lit(1)), "p2": F.xxhash64(F.lit(2), "prefix")}))
-    ids = grouped.groupBy("p1", "p2", "n").agg(F.min("doc").alias("doc"))
-    groups = grouped.join(ids, ["p1", "p2", "n", "doc"]).select("doc", "n", "prefix").mapInArrow(_postings, schema("key long, doc long, n long"))
+    kind = "doc_id long, n long, one long, two long, p1 long, p2 long, prefix binary, " + ", ".join(f"{b} long" for b in BITS)
+    all_docs = staged(docs.mapInArrow(_described(width, percent, levels), schema(kind)))
+    live = all_docs.where("n > 0 and doc_id is not null").withColumnRenamed("doc_id", "doc")
+    classes = staged(live.groupBy("one", "two", "n").agg(F.min("doc").alias("doc")))
+    members = live.join(classes, ["one", "two", "n", "doc"]).dropDuplicates(["one", "two", "n", "doc"])
+    grouped = staged(members.select("doc", "n", "p1", "p2", *BITS))
+    ids = staged(grouped.groupBy("p1", "p2", "n").agg(F.min("doc").alias("doc")))
+    groups = live.select("p1", "p2", "n", "doc", "prefix").join(ids, ["p1", "p2", "n", "doc"]).select("doc", "n", "prefix").mapInArrow(_postings, schema("key long, doc long, n long"))
     member_of = staged(grouped.select("doc", "n", "p1", "p2").join(ids.withColumnRenamed("doc", "group"), ["p1", "p2", "n"]).select("group", "doc", "n"))
 
     def sifted(lists: DataFrame, pivots: int = 1) -> DataFrame:
         return staged(lists.repartition("key").sortWithinPartitions("key", "n", "doc").mapInArrow(_pairs(percent, pivots), schema(PAIR)))
 
+    differ = " + ".join(f"bit_count(x{k} ^ y{k})" for k in BITS)
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """The pairs with both sizes and h, the places in which the parities of their sets differ: at most the elements in which the sets do."""
+        x = grouped.select(F.col("doc").alias("a"), F.col("n").alias("na"), *(F.col(k).alias(f"x{k}") for k in BITS))
+        y = grouped.select(F.col("doc").alias("b"), F.col("n").alias("nb"), *(F.col(k).alias(f"y{k}") for k in BITS))
+        return pairs.join(x, "a").join(y, "b").withColumn("h", F.expr(differ)).drop(*(f"{s}{k}" for s in "xy" for k in BITS))
+
+    near = f"h * {100 + percent} <= (na + nb) * {100 - percent} and least(na, nb) * 100 >= greatest(na, nb) * {percent} and a <> b"
+
     # group pairs, each once; a hot shingle's list keeps its key and is expanded as a list
     first = sifted(groups)
     crowds = member_of.groupBy("group").agg(F.count("*").alias("members")).where("members > 1")
     cold = first.where("key is null").select("a", "b").distinct()
     marked = cold.join(crowds.select(F.col("group").alias("a"), F.lit(True).alias("ca")), "a", "left").join(crowds.select(F.col("group").alias("b"), F.lit(True).alias("cb")), "b", "left")
-    marked = marked.select("a", "b", (F.col("ca").isNotNull() | F.col("cb").isNotNull()).alias("crowd"))
+    marked = staged(marked.select("a", "b", (F.col("ca").isNotNull() | F.col("cb").isNotNull()).alias("crowd")))
     plain = marked.where("not crowd").select(F.lit(None).cast("long").alias("key"), "a", "b")
     wide = marked.where("crowd").select(F.xxhash64("a", "b").alias("key"), F.explode(F.array("a", "b")).alias("group"))
     own = crowds.select(F.xxhash64("group").alias("key"), "group")
     hot = first.where("key is not null").select("key", F.explode(F.array("a", "b")).alias("group"))
     lists = wide.unionByName(own).unionByName(hot).distinct().join(member_of, "group").select("key", "doc", "n").distinct()
     pairs = staged(sifted(lists).unionByName(plain))
+    unstage(first, marked)
+
+    sets: DataFrame | None = None
+    edges: DataFrame | None = None
+
+    def verified(found: DataFrame, old: DataFrame | None) -> DataFrame:
+        told = found.join(sets.select(F.col("doc").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("doc").alias("b"), F.col("items").alias("y")), "b")
+        checked = told.select("a", "b", "x", "y").mapInArrow(_verified, schema("a long, b long, same long, union long"))
+        good = checked.where(f"100 * same >= {percent} * union").select("a", "b").distinct()
+        return staged(good if old is None else old.unionByName(good))
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    texts = docs.join(grouped.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").join(wanted.hint("shuffle_hash").withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi")
-    sets = staged(texts.mapInArrow(_sets(width), schema("doc long, mark long, items binary")).dropDuplicates(["doc", "mark"]))
-    size_of = member_of.select("doc", "n")
+    def named(df: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
+        for c in columns:
+            df = df.join(labels.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")), c, "left").withColumn(f"c{c}", F.coalesce(f"c{c}", c))
+        return df
 
-    linked: DataFrame | None = None
     pivots = 1
     while True:
-        whole = pairs.select("a", "b").distinct()
-        told = whole.join(sets.select(F.col("doc").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("doc").alias("b"), F.col("items").alias("y")), "b")
-        checked = staged(told.select(F.lit(None).cast("long").alias("key"), "a", "b", "x", "y").mapInArrow(_verified, schema(PAIR + ", same long, union long")))
-        good = checked.where(F.expr(f"a <> b and 100 * same >= {percent} * union")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        linked = good if linked is None else linked.unionByName(good)
+        found = staged(compared(pairs.select("a", "b").distinct()).where(near).select("a", "b").distinct())
         stars = pairs.where("key is not null")
+        if sets is None:
+            need = found.unionByName(stars.select("a", "b")).select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+            texts = docs.join(need.hint("shuffle_hash"), "doc_id", "left_semi").groupBy("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("l")).agg(F.first("text").alias("text"))
+            sets = staged(texts.select("doc_id", "text").mapInArrow(_sets(width), schema("doc long, items binary")))
+        # a pair whose ends are in one component already says nothing new: first one pair a document, then what that leaves
+        forest = staged(found.groupBy("b").agg(F.min("a").alias("a")))
+        edges = verified(forest, edges)
+        labels = components(edges)
+        edges = verified(named(found.join(forest, ["a", "b"], "left_anti"), labels, "a", "b").where("ca <> cb").select("a", "b"), edges)
+        unstage(found, forest)
         if stars.isEmpty():
             break
-        # rings of one threshold around the pivot; a member stands in its own and the next ring, all of a link's ends meet in one
-        ring = F.floor((F.col("union") - F.col("same")) / (F.col("union") * F.lit((100 - percent) / 100 + 1e-6)))
-        rings = stars.join(checked.drop("key"), ["a", "b"]).select("key", F.col("b").alias("doc"), ring.alias("r")).distinct()
-        rings = rings.select("key", "doc", F.explode(F.array(F.col("r"), F.col("r") + 1)).alias("r"), (F.col("r")).alias("own"))
-        # a ring whose members all touch the pivot's ball holds nothing new: they are linked through the pivot
-        worth = rings.groupBy("key", "r").agg(F.max("own").alias("far"), F.count("*").alias("k")).where("far > 0 and k > 1")
-        again = rings.join(worth, ["key", "r"]).select(F.xxhash64("key", "r").alias("key"), "doc").distinct().join(size_of, "doc").select("key", "doc", "n")
+        # A list goes on with what isn't in its pivot's component. Parities differ by a metric, so a member of the component links only
+        # with members that are at most the threshold's difference further from the pivot; if there are any, both go on together.
+        labels = components(edges)
+        told = staged(named(compared(stars.distinct()), labels, "a", "b").select("key", "h", F.col("b").alias("doc"), F.col("nb").alias("n"), (F.col("ca") == F.col("cb")).alias("ours"), F.col("na").alias("np")))
+        reach = told.groupBy("key").agg(F.max(F.when(F.col("ours"), F.col("h"))).alias("hb"), F.max(F.greatest("n", "np")).alias("big"), F.count_if(~F.col("ours")).alias("others")).where("others > 0")
+        told = told.join(reach, "key").withColumn("border", F.expr(f"not ours and (h - hb) * {100 + percent} <= 2 * big * {100 - percent}"))
+        mixed_keys = told.where("border").select("key").distinct()
+        again = told.where("not ours").select(F.xxhash64("key", F.lit("others")).alias("key"), "doc", "n")
+        again = again.unionByName(told.where("ours or border").join(mixed_keys, "key").select(F.xxhash64("key", F.lit("border")).alias("key"), "doc", "n"))
         pivots *= 2  # lists whose members are all far apart end after a logarithm of rounds
-        pairs = sifted(again, pivots)
-    edges = staged(linked.distinct())
-    degree = edges.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count("*").alias("n_links"))
+        unstage(pairs)
+        pairs = sifted(again.distinct(), pivots)
     # rows that share a doc_id tie the classes of their texts
-    tied = live.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
-    same_id = live.join(tied, "doc_id").join(classes, ["one", "two", "n"]).select(F.col("doc_id").alias("a"), F.col("doc").alias("b")).where("a <> b")
+    ours = live.select("one", "two", "n", F.col("doc").alias("doc_id"))
+    tied = ours.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
+    same_id = ours.join(tied, "doc_id").join(classes, ["one", "two", "n"]).select(F.col("doc_id").alias("a"), F.col("doc").alias("b")).where("a <> b")
     found = components(edges.unionByName(same_id))
-    labels = classes.join(found.withColumnRenamed("node", "doc"), "doc", "left").join(degree, "doc", "left").select("one", "two", "n", F.coalesce("component", "doc").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    labels = classes.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("one", "two", "n", F.coalesce("component", "doc").alias("component"))
     out = all_docs.select("doc_id", "n", "one", "two").join(labels, ["one", "two", "n"], "left")
     component = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.least("component", "doc_id"))
-    unstage(first, member_of, sets)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    unstage(pairs, sets, member_of)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))

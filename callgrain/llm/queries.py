@@ -20,6 +20,26 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def language_model(documents: DataFrame):
+    """Learned from the documents whose crc32(doc_id as text) modulo 4 is not 2 and that have a lang."""
+    import public_tokenizers
+
+    from .base import crc_mod
+    from .language_id import fit
+
+    learn = documents.where((F.coalesce(crc_mod("doc_id", 4), F.lit(-1)) != 2) & F.col("lang").isNotNull())
+    return fit(learn.select("lang", "text", F.col("doc_id").alias("key")), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .base import crc_mod
+    from .language_id import predict
+
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = predict(documents.select("doc_id", "text"), language_model(documents))
+    return out.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -171,7 +171,7 @@ def fit(labelled: DataFrame, path: str, per_language: int = 2000, sample_chars:
     rows = labelled.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("key").alias("h"), (F.length("text") <= sample_chars).alias("short"))
     sizes = {(r["lang"], r["short"]): r["n"] for r in rows.groupBy("lang", "short").agg(F.count("*").alias("n")).collect()}
     langs = sorted({k for k, _ in sizes})
-    span = F.lit(None)
+    span = F.lit(None).cast("boolean")
     for lang in langs:
         use = (lang, True) in sizes
         # a slice of the hash range that holds about that many documents

@@ -64,7 +64,7 @@ class ByteLevel:
             self.known = dict(self.whole)
         found = [[self.pre_tokens(x) for x in self.special.split(text)] for text in texts]
         known = self.known
-        if missing := {t for parts in found for part in parts for t in part if t not in known}:
+        if missing := set().union(*(part for parts in found for part in parts)).difference(known):
             self.merged(sorted(missing))
         return [sum(sum(map(known.__getitem__, part)) for part in parts) + len(parts) - 1 for parts in found]
 
@@ -117,7 +117,7 @@ class WordEnds:
         for text in texts:
             parts = self.special.split(text) if self.special else [text]
             found.append([self.pre_tokens(x) if i % 2 == 0 else [x] for i, x in enumerate(parts)])
-        if missing := {t for parts in found for part in parts[::2] for t in part if t not in known}:
+        if missing := set().union(*(part for parts in found for part in parts[::2])).difference(known):
             self.merged(sorted(missing))
         out = []
         for parts in found:

@@ -11,6 +11,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import BASE, as_text, scan_history
+
+    versions = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.lit(1).alias("version"), F.col("text").alias("content"))
+    found, _ = scan_history(versions)
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda x: x["rank"] < len(BASE))
+    return found.select(F.col("path").alias("doc_id"), *(count(r.kind) for r in BASE), F.sha2(as_text(base), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -59,4 +72,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
-ORACLE_SQL: dict[str, str] = {}
+def _secret_sql() -> str:
+    """Offsets from the pieces between matches; the case of letters is spelt out, as (?i) is wider there."""
+    fold = "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in "(password|passwd|secret|token|api_?key)")
+    rules = [
+        ("assign", fold + r"""["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", True),
+        ("access", "AKIA[A-Z0-9]{12,}", False),
+        ("hex", "[0-9a-f]{32,}", False),
+        ("pem", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", False),
+        ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", False),
+        ("github", "gh[pousr]_[A-Za-z0-9]{36,}", False),
+    ]
+    parts = []
+    for rank, (kind, pattern, group) in enumerate(rules):
+        value = f"regexp_extract(m[i], '{pattern}', 2)" if group else "m[i]"
+        parts.append(f"""select doc_id, {rank} as rank, '{kind}' as kind, s[i] as start, s[i] + length(m[i]) as stop, length({value}) >= {8 if group else 1} as ok
+            from (select doc_id, m, unnest(range(1, len(m) + 1)) as i, list_transform(range(1, len(m) + 1), lambda j: list_sum(list_transform(p[1:j], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:j - 1], lambda x: length(x))), 0)) as s
+                  from (select doc_id, regexp_extract_all(t, '{pattern}', 0) as m, regexp_split_to_array(t, '{pattern}') as p from d where regexp_matches(t, '{pattern}')))""")
+    return f"""with d as (select doc_id, coalesce(text, '') as t from documents),
+        f as (select doc_id, rank, kind, start::bigint as start, kind || ':' || start::bigint || ':' || stop::bigint as s from ({' union all '.join(parts)}) where ok),
+        g as (select doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
+              string_agg(s, ',' order by start, rank) filter (rank < 3) as base, string_agg(s, ',' order by start, rank) as spans from f group by doc_id)
+        select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+               sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from d left join g using (doc_id)"""
+
+
+ORACLE_SQL: dict[str, str] = {"op5_secret_scan": _secret_sql()}

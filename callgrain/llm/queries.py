@@ -33,6 +33,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import line_dedup
+
+    return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def language_model(documents: DataFrame):
     """Learned from the documents whose crc32(doc_id as text) modulo 4 is not 2 and that have a lang."""
     import public_tokenizers

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -59,6 +60,12 @@ def unstage(*frames: DataFrame) -> None:
         delete(df.sparkSession, df.staged_path)  # type: ignore[attr-defined]
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that nothing refers to any more; it does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def schema(ddl: str) -> T.StructType:
     return T._parse_datatype_string(ddl)  # type: ignore[return-value]
 

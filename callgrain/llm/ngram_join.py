@@ -24,10 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .base import WINDOW, joined, mixed, schema, signed, staged, text_chunks, unstage, word_hashes
+from .base import WINDOW, free_shuffles, joined, mixed, schema, signed, staged, text_chunks, unstage, word_hashes
 from .components import components
 
-SKETCH, SLICES, LIST = 1 << 22, 64, 64
+SKETCH, SLICES, LIST = 1 << 24, 64, 64
 
 
 def shingles(texts: list[bytes], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -57,7 +57,7 @@ def shingles(texts: list[bytes], width: int) -> Iterator[tuple[np.ndarray, np.nd
 def _sketches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH, np.uint32)
-        for _, texts in text_chunks(batches, size=3 * WINDOW):
+        for _, texts in text_chunks(batches, size=4 * WINDOW):
             parts = [h for h, _ in shingles(texts, width)]
             counts += np.bincount((np.concatenate(parts) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
         if counts.any():
@@ -77,15 +77,15 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequency_levels(docs: DataFrame, width: int) -> np.ndarray:
-    """One byte for each of the sketch's counters: 0 for what chance explains, else the logarithm of the count. 4 MB at every input size."""
+    """One byte for each of the sketch's counters: 0 for what chance explains, else the logarithm of the count. 16 MB at every input size."""
     kind = schema("slice int, counts binary")
     rows = docs.mapInArrow(_sketches(width), kind).repartition(SLICES, "slice").mapInArrow(_summed, kind).collect()
-    counts = np.zeros(SKETCH, np.float64)
+    counts = np.zeros((SLICES, SKETCH // SLICES), np.float32)
     for r in rows:
-        counts[r["slice"] * (SKETCH // SLICES) :][: SKETCH // SLICES] = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.uint64)
-    usual = np.median(counts)
-    level = np.where(counts > usual + 8 * np.sqrt(usual + 1) + 8, np.log2(counts + 1) * 4, 0)
-    return np.clip(level, 0, 255).astype(np.uint8)
+        counts[r["slice"]] = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.uint64)
+    usual = counts.mean(axis=1, keepdims=True)
+    level = np.where(counts > usual + 4 * np.sqrt(usual + 1), np.log2(counts + 1) * 6, 0)
+    return np.clip(level, 0, 255).astype(np.uint8).ravel()
 
 
 BITS = [f"b{i}" for i in range(8)]
@@ -265,6 +265,7 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     lists = wide.unionByName(own).unionByName(hot).distinct().join(member_of, "group").select("key", "doc", "n").distinct()
     pairs = staged(sifted(lists).unionByName(plain))
     unstage(first, marked)
+    free_shuffles(docs.sparkSession)
 
     sets: DataFrame | None = None
     edges: DataFrame | None = None
@@ -275,9 +276,9 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
         good = checked.where(f"100 * same >= {percent} * union").select("a", "b").distinct()
         return staged(good if old is None else old.unionByName(good))
 
-    def named(df: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
+    def rooted(df: DataFrame, roots: DataFrame, *columns: str) -> DataFrame:
         for c in columns:
-            df = df.join(labels.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")), c, "left").withColumn(f"c{c}", F.coalesce(f"c{c}", c))
+            df = df.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"c{c}")), c, "left").withColumn(f"c{c}", F.coalesce(f"c{c}", c))
         return df
 
     pivots = 1
@@ -288,18 +289,21 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
             need = found.unionByName(stars.select("a", "b")).select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
             texts = docs.join(need.hint("shuffle_hash"), "doc_id", "left_semi").groupBy("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("l")).agg(F.first("text").alias("text"))
             sets = staged(texts.select("doc_id", "text").mapInArrow(_sets(width), schema("doc long, items binary")))
-        # a pair whose ends are in one component already says nothing new: first one pair a document, then what that leaves
+        # a pair whose ends are known to be in one component says nothing new: first one pair a document, then what that leaves
         forest = staged(found.groupBy("b").agg(F.min("a").alias("a")))
-        edges = verified(forest, edges)
-        labels = components(edges)
-        edges = verified(named(found.join(forest, ["a", "b"], "left_anti"), labels, "a", "b").where("ca <> cb").select("a", "b"), edges)
-        unstage(found, forest)
+        trees = verified(forest, None)
+        up = trees.select(F.col("b").alias("node"), F.col("a").alias("root"))
+        roots = staged(up.join(up.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+        rest = rooted(found.join(forest, ["a", "b"], "left_anti"), roots, "a", "b").where("ca <> cb").select("a", "b")
+        links = verified(rest, trees)
+        edges = links if edges is None else edges.unionByName(links)
         if stars.isEmpty():
             break
-        # A list goes on with what isn't in its pivot's component. Parities differ by a metric, so a member of the component links only
-        # with members that are at most the threshold's difference further from the pivot; if there are any, both go on together.
-        labels = components(edges)
-        told = staged(named(compared(stars.distinct()), labels, "a", "b").select("key", "h", F.col("b").alias("doc"), F.col("nb").alias("n"), (F.col("ca") == F.col("cb")).alias("ours"), F.col("na").alias("np")))
+        # A list goes on with what isn't linked with its pivot. Parities differ by a metric, so what is linked with the pivot links only with
+        # members that are at most the threshold's difference further from the pivot; if there are any, both go on together.
+        direct = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().withColumn("linked", F.lit(True))
+        told = rooted(compared(stars.distinct()), roots, "a", "b").join(direct, ["a", "b"], "left")
+        kept = told = staged(told.select("key", "h", F.col("b").alias("doc"), F.col("nb").alias("n"), (F.col("linked").isNotNull() | (F.col("ca") == F.col("cb"))).alias("ours"), F.col("na").alias("np")))
         reach = told.groupBy("key").agg(F.max(F.when(F.col("ours"), F.col("h"))).alias("hb"), F.max(F.greatest("n", "np")).alias("big"), F.count_if(~F.col("ours")).alias("others")).where("others > 0")
         told = told.join(reach, "key").withColumn("border", F.expr(f"not ours and (h - hb) * {100 + percent} <= 2 * big * {100 - percent}"))
         mixed_keys = told.where("border").select("key").distinct()
@@ -308,6 +312,9 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
         pivots *= 2  # lists whose members are all far apart end after a logarithm of rounds
         unstage(pairs)
         pairs = sifted(again.distinct(), pivots)
+        unstage(kept, roots, found, forest)
+        free_shuffles(docs.sparkSession)
+    free_shuffles(docs.sparkSession)
     # rows that share a doc_id tie the classes of their texts
     ours = live.select("one", "two", "n", F.col("doc").alias("doc_id"))
     tied = ours.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")

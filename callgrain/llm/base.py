@@ -137,6 +137,20 @@ def word_hashes(buf: np.ndarray, fold: np.ndarray = LOWER, space: np.ndarray = S
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))  # type: ignore[return-value]
 
 
+#: White space, punctuation and controls of ASCII end a word here.
+MARKS = np.zeros(256, bool)
+MARKS[:128] = [not chr(i).isalnum() for i in range(128)]
+
+
+def folded(buf: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z and the two-byte capitals of Latin-1 in lower case."""
+    out = LOWER[buf]
+    if len(buf) > 1:
+        upper = (buf[:-1] == 0xC3) & (buf[1:] >= 0x80) & (buf[1:] <= 0x9E) & (buf[1:] != 0x97)
+        out[1:][upper] += 0x20
+    return out
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = WINDOW) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with about so many bytes of text (a longer text comes alone), and the texts as bytes; null is empty."""
     for batch in batches:

@@ -33,12 +33,26 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    rows = table(spark, sf_dir, "embeddings")
+    found = top_k(rows, rows.where("vec_id % 20 = 0"), k=20, scale=64)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import line_dedup
 
     return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def language_model(documents: DataFrame):
     """Learned from the documents whose crc32(doc_id as text) modulo 4 is not 2 and that have a lang."""
     import public_tokenizers
@@ -109,4 +123,10 @@ def _secret_sql() -> str:
                sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from d left join g using (doc_id)"""
 
 
-ORACLE_SQL: dict[str, str] = {"op5_secret_scan": _secret_sql()}
+_TOPK_SQL = """with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as e from embeddings
+        where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    s as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score from v q join v c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id),
+    r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+    select query_id, rank, vec_id, score from r where rank <= 20"""
+
+ORACLE_SQL: dict[str, str] = {"op1_exact_topk": _TOPK_SQL, "op5_secret_scan": _secret_sql()}

@@ -130,40 +130,58 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(first, 2000)
             prefix = [np.frombuffer(x, np.int64) for x in part["prefix"].to_pylist()]
             size = [len(x) for x in prefix]
-            yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(prefix)), "doc": pa.array(np.repeat(part["doc"].to_numpy(), size)), "n": pa.array(np.repeat(part["n"].to_numpy(), size))})
+            place = np.concatenate([np.arange(k, dtype=np.int32) for k in size])
+            yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(prefix)), "doc": pa.array(np.repeat(part["doc"].to_numpy(), size)), "n": pa.array(np.repeat(part["n"].to_numpy(), size)), "place": pa.array(place)})
 
 
 def _pairs(percent: int, pivots: int):
-    """Rows (key, doc, n) sorted by key, n, doc to pairs (a, b): with a null key, or, where the list is longer than can be paired off,
-    with its key, a its first pivot and b a member that is no pivot (it meets the other pivots under null keys).
+    """Rows (key, doc, n, place) sorted by key, n, doc to pairs (a, b): with a null key, or, where the list is longer than can be paired off,
+    with its key and b's place: a is its first pivot then and b a member that is no pivot (it meets the other pivots under null keys), or
+    the pivot itself.
 
-    A list's rows may come in any number of batches; no more than the bound on all-pairs lists are held.
+    place is how many elements of the document's order come before the list's. If it is the first that two documents share, none of those
+    is in the other, so each place is at most its size less the least intersection; pairs and members that can't meet this are left to the
+    lists of earlier elements. A list's rows may come in any number of batches; no more than the bound on all-pairs lists are held.
     """
     bound = max(LIST, pivots)
 
-    def short(docs: np.ndarray, n: np.ndarray, out: list) -> None:
+    def spare(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """How many elements sets of sizes x may have that sets of sizes y lack."""
+        return x - -(-(x + y) * percent // (100 + percent))
+
+    def short(docs: np.ndarray, n: np.ndarray, place: np.ndarray, out: list) -> None:
         for i in range(len(docs) - 1):
             last = int(np.searchsorted(n, n[i] * 100 // percent, "right"))
             if last > i + 1:
-                out.append((np.repeat(docs[i], last - i - 1), docs[i + 1 : last], None))
+                m = n[i + 1 : last]
+                meet = (place[i] <= spare(n[i], m)) & (place[i + 1 : last] <= spare(m, n[i]))
+                if meet.any():
+                    other = docs[i + 1 : last][meet]
+                    out.append((np.repeat(docs[i], len(other)), other, None, None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        key, long = None, False
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+        held: tuple = none
+        key, long, least = None, False, 0
 
         def emit(out: list) -> Iterator[pa.RecordBatch]:
             if out:
                 a, b = np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
                 plain = np.concatenate([np.full(len(x[0]), x[2] is None) for x in out])
                 keys = np.concatenate([np.full(len(x[0]), x[2] or 0, np.int64) for x in out])
-                yield pa.RecordBatch.from_pydict({"key": pa.array(keys, mask=plain), "a": pa.array(np.where(plain, np.minimum(a, b), a)), "b": pa.array(np.where(plain, np.maximum(a, b), b))})
+                place = np.concatenate([np.zeros(len(x[0]), np.int32) if x[3] is None else x[3] for x in out])
+                columns = {"key": pa.array(keys, mask=plain), "a": pa.array(np.where(plain, np.minimum(a, b), a)), "b": pa.array(np.where(plain, np.maximum(a, b), b)), "place": pa.array(place)}
+                yield pa.RecordBatch.from_pydict(columns)
 
-        def star(docs: np.ndarray, out: list) -> None:
-            out.append((np.full(len(docs), held[0][0]), docs, int(key)))
-            out.extend((np.full(len(docs), x), docs, None) for x in held[0][1:])
+        def star(docs: np.ndarray, n: np.ndarray, place: np.ndarray, out: list) -> None:
+            out.append((np.full(len(docs), held[0][0]), docs, int(key), place))
+            for x, m, at in zip(*(c[1:] for c in held), strict=True):
+                meet = (at <= spare(m, n)) & (place <= spare(n, m)) & (n * percent <= m * 100) & (m * percent <= n * 100)
+                out.append((np.full(int(meet.sum()), x), docs[meet], None, None))
 
         for batch in batches:
-            keys, docs, n = (batch[x].to_numpy() for x in ("key", "doc", "n"))
+            columns = [batch[x].to_numpy() for x in ("doc", "n", "place")]
+            keys, n, place = batch["key"].to_numpy(), columns[1], columns[2]
             edges = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]]) if len(keys) else np.zeros(1, np.int64)
             out: list = []
             runs = np.diff(edges)
@@ -173,16 +191,26 @@ def _pairs(percent: int, pivots: int):
                 if keys[s] != key or key is None:
                     if not long:
                         short(*held, out)
-                    key, long, held = keys[s], False, (docs[:0], n[:0])
+                    key, long, held, least = keys[s], False, none, int(n[s])
+                # a member that even the list's smallest set can't link with
+                live = s + np.flatnonzero(place[s:e] <= spare(n[s:e], np.full(e - s, least)))
+                rows = tuple(c[live] for c in columns)
                 if long:
-                    star(docs[s:e], out)
+                    star(*rows, out)
                     continue
-                held = tuple(np.concatenate([x, y[s:e]]) for x, y in zip(held, (docs, n), strict=True))  # type: ignore[assignment]
+                held = tuple(np.concatenate([x, y]) for x, y in zip(held, rows, strict=True))
                 if len(held[0]) > bound:
-                    long, rest = True, held[0][pivots:]
-                    held = (held[0][:pivots], held[1][:pivots])
-                    short(*held, out)
-                    star(rest, out)
+                    long = True
+                    # pivots have the lowest places: of a family of near copies they are nearest to what its members share
+                    order = np.argsort(held[2][: bound + 1], kind="stable")
+                    order = np.concatenate([order, np.arange(bound + 1, len(held[0]))])
+                    rest = tuple(c[order[pivots:]] for c in held)
+                    chosen = np.sort(order[1:pivots])
+                    held = tuple(c[np.concatenate([order[:1], chosen])] for c in held)
+                    by_size = np.argsort(held[1], kind="stable")
+                    short(*(c[by_size] for c in held), out)
+                    out.append((held[0][:1], held[0][:1], int(key), held[2][:1]))
+                    star(*rest, out)
             yield from emit(out)
         if not long:
             out = []
@@ -214,7 +242,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"a": batch["a"], "b": batch["b"], "same": pa.array(both, pa.int64()), "union": pa.array(union, pa.int64())})
 
 
-PAIR = "key long, a long, b long"
+PAIR = "key long, a long, b long, place int"
 
 
 def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
@@ -236,7 +264,7 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     members = live.join(classes, ["one", "two", "n", "doc"]).dropDuplicates(["one", "two", "n", "doc"])
     grouped = staged(members.select("doc", "n", "p1", "p2", *BITS))
     ids = staged(grouped.groupBy("p1", "p2", "n").agg(F.min("doc").alias("doc")))
-    groups = live.select("p1", "p2", "n", "doc", "prefix").join(ids, ["p1", "p2", "n", "doc"]).select("doc", "n", "prefix").mapInArrow(_postings, schema("key long, doc long, n long"))
+    groups = live.select("p1", "p2", "n", "doc", "prefix").join(ids, ["p1", "p2", "n", "doc"]).select("doc", "n", "prefix").mapInArrow(_postings, schema("key long, doc long, n long, place int"))
     member_of = staged(grouped.select("doc", "n", "p1", "p2").join(ids.withColumnRenamed("doc", "group"), ["p1", "p2", "n"]).select("group", "doc", "n"))
 
     def sifted(lists: DataFrame, pivots: int = 1) -> DataFrame:
@@ -258,11 +286,11 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     cold = first.where("key is null").select("a", "b").distinct()
     marked = cold.join(crowds.select(F.col("group").alias("a"), F.lit(True).alias("ca")), "a", "left").join(crowds.select(F.col("group").alias("b"), F.lit(True).alias("cb")), "b", "left")
     marked = staged(marked.select("a", "b", (F.col("ca").isNotNull() | F.col("cb").isNotNull()).alias("crowd")))
-    plain = marked.where("not crowd").select(F.lit(None).cast("long").alias("key"), "a", "b")
-    wide = marked.where("crowd").select(F.xxhash64("a", "b").alias("key"), F.explode(F.array("a", "b")).alias("group"))
-    own = crowds.select(F.xxhash64("group").alias("key"), "group")
-    hot = first.where("key is not null").select("key", F.explode(F.array("a", "b")).alias("group"))
-    lists = wide.unionByName(own).unionByName(hot).distinct().join(member_of, "group").select("key", "doc", "n").distinct()
+    plain = marked.where("not crowd").select(F.lit(None).cast("long").alias("key"), "a", "b", F.lit(0).alias("place"))
+    wide = marked.where("crowd").select(F.xxhash64("a", "b").alias("key"), F.explode(F.array("a", "b")).alias("group"), F.lit(0).alias("place"))
+    own = crowds.select(F.xxhash64("group").alias("key"), "group", F.lit(0).alias("place"))
+    hot = first.where("key is not null").select("key", F.col("b").alias("group"), "place")
+    lists = wide.unionByName(own).unionByName(hot).distinct().join(member_of, "group").select("key", "doc", "n", "place")
     pairs = staged(sifted(lists).unionByName(plain))
     unstage(first, marked)
     free_shuffles(docs.sparkSession)
@@ -284,7 +312,7 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     pivots = 1
     while True:
         found = staged(compared(pairs.select("a", "b").distinct()).where(near).select("a", "b").distinct())
-        stars = pairs.where("key is not null")
+        stars = pairs.where("key is not null and a <> b")
         if sets is None:
             need = found.unionByName(stars.select("a", "b")).select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
             texts = docs.join(need.hint("shuffle_hash"), "doc_id", "left_semi").groupBy("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("l")).agg(F.first("text").alias("text"))
@@ -302,13 +330,13 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
         # A list goes on with what isn't linked with its pivot. Parities differ by a metric, so what is linked with the pivot links only with
         # members that are at most the threshold's difference further from the pivot; if there are any, both go on together.
         direct = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().withColumn("linked", F.lit(True))
-        told = rooted(compared(stars.distinct()), roots, "a", "b").join(direct, ["a", "b"], "left")
-        kept = told = staged(told.select("key", "h", F.col("b").alias("doc"), F.col("nb").alias("n"), (F.col("linked").isNotNull() | (F.col("ca") == F.col("cb"))).alias("ours"), F.col("na").alias("np")))
+        told = rooted(compared(stars), roots, "a", "b").join(direct, ["a", "b"], "left")
+        kept = told = staged(told.select("key", "h", F.col("b").alias("doc"), F.col("nb").alias("n"), "place", (F.col("linked").isNotNull() | (F.col("ca") == F.col("cb"))).alias("ours"), F.col("na").alias("np")))
         reach = told.groupBy("key").agg(F.max(F.when(F.col("ours"), F.col("h"))).alias("hb"), F.max(F.greatest("n", "np")).alias("big"), F.count_if(~F.col("ours")).alias("others")).where("others > 0")
         told = told.join(reach, "key").withColumn("border", F.expr(f"not ours and (h - hb) * {100 + percent} <= 2 * big * {100 - percent}"))
         mixed_keys = told.where("border").select("key").distinct()
-        again = told.where("not ours").select(F.xxhash64("key", F.lit("others")).alias("key"), "doc", "n")
-        again = again.unionByName(told.where("ours or border").join(mixed_keys, "key").select(F.xxhash64("key", F.lit("border")).alias("key"), "doc", "n"))
+        again = told.where("not ours").select(F.xxhash64("key", F.lit("others")).alias("key"), "doc", "n", "place")
+        again = again.unionByName(told.where("ours or border").join(mixed_keys, "key").select(F.xxhash64("key", F.lit("border")).alias("key"), "doc", "n", "place"))
         pivots *= 2  # lists whose members are all far apart end after a logarithm of rounds
         unstage(pairs)
         pairs = sifted(again.distinct(), pivots)

@@ -1,0 +1 @@
+"""Queries by name, their fixtures and their SQL."""

@@ -135,13 +135,13 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pairs(percent: int, pivots: int):
-    """Rows (key, doc, n, place) sorted by key, n, doc to pairs (a, b): with a null key, or, where the list is longer than can be paired off,
+    """Rows (key, doc, n, place) sorted by key, place, doc to pairs (a, b): with a null key, or, where the list is longer than can be paired off,
     with its key and b's place: a is its first pivot then and b a member that is no pivot (it meets the other pivots under null keys), or
     the pivot itself.
 
     place is how many elements of the document's order come before the list's. If it is the first that two documents share, none of those
-    is in the other, so each place is at most its size less the least intersection; pairs and members that can't meet this are left to the
-    lists of earlier elements. A list's rows may come in any number of batches; no more than the bound on all-pairs lists are held.
+    is in the other, so each place is at most its size less the least intersection; pairs that can't meet this are left to the lists of
+    earlier elements. A pivot has the lowest place: of a family of near copies it is the nearest to what its members share. A list's rows may come in any number of batches; no more than the bound on all-pairs lists are held.
     """
     bound = max(LIST, pivots)
 
@@ -150,6 +150,8 @@ def _pairs(percent: int, pivots: int):
         return x - -(-(x + y) * percent // (100 + percent))
 
     def short(docs: np.ndarray, n: np.ndarray, place: np.ndarray, out: list) -> None:
+        order = np.argsort(n, kind="stable")
+        docs, n, place = docs[order], n[order], place[order]
         for i in range(len(docs) - 1):
             last = int(np.searchsorted(n, n[i] * 100 // percent, "right"))
             if last > i + 1:
@@ -162,7 +164,7 @@ def _pairs(percent: int, pivots: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
         held: tuple = none
-        key, long, least = None, False, 0
+        key, long = None, False
 
         def emit(out: list) -> Iterator[pa.RecordBatch]:
             if out:
@@ -181,7 +183,7 @@ def _pairs(percent: int, pivots: int):
 
         for batch in batches:
             columns = [batch[x].to_numpy() for x in ("doc", "n", "place")]
-            keys, n, place = batch["key"].to_numpy(), columns[1], columns[2]
+            keys = batch["key"].to_numpy()
             edges = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]]) if len(keys) else np.zeros(1, np.int64)
             out: list = []
             runs = np.diff(edges)
@@ -191,24 +193,16 @@ def _pairs(percent: int, pivots: int):
                 if keys[s] != key or key is None:
                     if not long:
                         short(*held, out)
-                    key, long, held, least = keys[s], False, none, int(n[s])
-                # a member that even the list's smallest set can't link with
-                live = s + np.flatnonzero(place[s:e] <= spare(n[s:e], np.full(e - s, least)))
-                rows = tuple(c[live] for c in columns)
+                    key, long, held = keys[s], False, none
+                rows = tuple(c[s:e] for c in columns)
                 if long:
                     star(*rows, out)
                     continue
                 held = tuple(np.concatenate([x, y]) for x, y in zip(held, rows, strict=True))
                 if len(held[0]) > bound:
                     long = True
-                    # pivots have the lowest places: of a family of near copies they are nearest to what its members share
-                    order = np.argsort(held[2][: bound + 1], kind="stable")
-                    order = np.concatenate([order, np.arange(bound + 1, len(held[0]))])
-                    rest = tuple(c[order[pivots:]] for c in held)
-                    chosen = np.sort(order[1:pivots])
-                    held = tuple(c[np.concatenate([order[:1], chosen])] for c in held)
-                    by_size = np.argsort(held[1], kind="stable")
-                    short(*(c[by_size] for c in held), out)
+                    rest, held = tuple(c[pivots:] for c in held), tuple(c[:pivots] for c in held)
+                    short(*held, out)
                     out.append((held[0][:1], held[0][:1], int(key), held[2][:1]))
                     star(*rest, out)
             yield from emit(out)
@@ -268,7 +262,7 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     member_of = staged(grouped.select("doc", "n", "p1", "p2").join(ids.withColumnRenamed("doc", "group"), ["p1", "p2", "n"]).select("group", "doc", "n"))
 
     def sifted(lists: DataFrame, pivots: int = 1) -> DataFrame:
-        return staged(lists.repartition("key").sortWithinPartitions("key", "n", "doc").mapInArrow(_pairs(percent, pivots), schema(PAIR)))
+        return staged(lists.repartition("key").sortWithinPartitions("key", "place", "doc").mapInArrow(_pairs(percent, pivots), schema(PAIR)))
 
     differ = " + ".join(f"bit_count(x{k} ^ y{k})" for k in BITS)
 
@@ -332,8 +326,9 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
         direct = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().withColumn("linked", F.lit(True))
         told = rooted(compared(stars), roots, "a", "b").join(direct, ["a", "b"], "left")
         kept = told = staged(told.select("key", "h", F.col("b").alias("doc"), F.col("nb").alias("n"), "place", (F.col("linked").isNotNull() | (F.col("ca") == F.col("cb"))).alias("ours"), F.col("na").alias("np")))
-        reach = told.groupBy("key").agg(F.max(F.when(F.col("ours"), F.col("h"))).alias("hb"), F.max(F.greatest("n", "np")).alias("big"), F.count_if(~F.col("ours")).alias("others")).where("others > 0")
-        told = told.join(reach, "key").withColumn("border", F.expr(f"not ours and (h - hb) * {100 + percent} <= 2 * big * {100 - percent}"))
+        reach = told.groupBy("key").agg(F.max(F.when(F.col("ours"), F.col("h"))).alias("hb"), F.max(F.greatest("n", "np")).alias("big"), F.least(F.min("n"), F.min("np")).alias("least"), F.count_if(~F.col("ours")).alias("others")).where("others > 0")
+        # a member whose place is beyond what even the list's smallest set allows has no partner in this list
+        told = told.join(reach, "key").where(f"place <= n - ceil((n + least) * {percent} / {100 + percent})").withColumn("border", F.expr(f"not ours and (h - hb) * {100 + percent} <= 2 * big * {100 - percent}"))
         mixed_keys = told.where("border").select("key").distinct()
         again = told.where("not ours").select(F.xxhash64("key", F.lit("others")).alias("key"), "doc", "n", "place")
         again = again.unionByName(told.where("ours or border").join(mixed_keys, "key").select(F.xxhash64("key", F.lit("border")).alias("key"), "doc", "n", "place"))

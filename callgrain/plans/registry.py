@@ -76,7 +76,7 @@ add("a6_overall_latency", t.overall_latency, f"select view, round(avg(v), 6) as
 XOUT = ["eth_Brand#11", "eth_call"]
 XSQL = "method not in ('eth_Brand#11', 'eth_call')"
 add("a7_per_flow_frame", lambda c: t.per_flow_frame(c, XOUT), f"select flow_id, min_by(method, position) as method, round(min_by(duration_ms, position), 6) as v from calls where duration_ms is not null and {XSQL} group by flow_id")
-add("a8_per_call_frame", lambda c: t.per_call_frame(c, XOUT).groupBy("method").agg(F.count("*").alias("n"), F.sum("v").alias("v")), f"select method, count(*) as n, round(sum(duration_ms / batch_size), 6) as v from calls where duration_ms is not null and {XSQL} group by method", 6)
+add("a8_per_call_frame", lambda c: t.per_call_frame(c, XOUT).groupBy("method").agg(F.count("*").alias("n"), F.sum("v").alias("v")), f"select method, count(*) as n, round(sum(duration_ms / batch_size), 2) as v from calls where duration_ms is not null and {XSQL} group by method", 2)
 PC = "select side, method, duration_ms / batch_size as v from sided where duration_ms is not null"
 PF = "select side, flow_id, min_by(method, position) as method, min_by(duration_ms, position) as v from sided where duration_ms is not null group by side, flow_id"
 add_pair("a9_ref_shares", lambda a, b: t.ref_shares(t.per_call_frame(a), t.per_call_frame(b)), ", p as (" + PC + ") select method, round(count(*) / (select count(*) from p), 6) as share from p group by method")
@@ -181,7 +181,7 @@ _VERDICT = "case when abs(c) < 3 then 'same' when c < 0 then 'better' else 'wors
 add_pair("a52_batch_dumbbells", ch.batch_dumbbells, f", j as ({_side_sql('bucket', _BS, 'duration_ms', 'linear', 'count(*) as n')}), m as (" + " union all ".join(f"select bucket, n_a, n_b, '{'avg' if m == 'mean' else m}' as metric, {m}_a as before, {m}_b as after from j" for m in _METRICS[:3]) + f"), z as (select *, case when before = 0 then 0 else (after - before) / before * 100 end as c from m) select bucket, n_a as flows_a, n_b as flows_b, metric, round(before, 6) as before, round(after, 6) as after, round(after - before, 6) as delta, round(sqrt(before * after), 6) as label_x, {_VERDICT} as verdict from z where before is not null and after is not null and n_a is not null and n_b is not null")
 _OVL = "select side, 'per-flow' as view, duration_ms as v from sfl where duration_ms is not null union all select side, 'per-call', duration_ms / batch_size from sided where duration_ms is not null"
 add_pair("a53_overall_pairs", ch.overall_pairs, f", j as ({_side_sql('view', _OVL, 'v', 'linear', 'count(*) as n')}), m as (" + " union all ".join(f"select view, '{'avg' if m == 'mean' else m}' as metric, {m}_a as before, {m}_b as after from j" for m in _METRICS) + "), z as (select *, case when before = 0 then 0 else (after - before) / before * 100 end as c, median(case when before = 0 then 0 else (after - before) / before * 100 end) over (partition by view) as md from m) select view, metric, round(before, 6) as before, round(after, 6) as after, round(after - before, 6) as delta, round(c, 6) as delta_pct, round(md, 6) as median_pct, case when md < 0 then 'better' when md > 0 then 'worse' else 'same' end as verdict from z")
-add("a54_cdf", ch.cdf, f", q as (select unnest({ch.CDF_POINTS})::double as q, unnest(quantile_cont(duration_ms, {ch.CDF_POINTS})) as d from fl where duration_ms is not null) select round(q, 6) as q, round(d, 6) as duration_ms from q")
+add("a54_cdf", lambda c: ch.cdf(c).select("q", F.round("duration_ms", 3).alias("duration_ms")), f", q as (select unnest({ch.CDF_POINTS})::double as q, unnest(quantile_cont(duration_ms, {ch.CDF_POINTS})) as d from fl where duration_ms is not null) select q, round(d, 3) as duration_ms from q")
 _S = "select method, count(*) as n, avg(duration_ms) as mean, quantile_cont(duration_ms, 0.95) as p95 from sided where batch_size = 1 and side = '{s}' group by method"
 add_pair(
     "a55_scorecard",
@@ -213,7 +213,7 @@ add_points("a39_cpu_stats", mo.cpu_stats, CPU + CST)
 DST = f"""select u."window", round(m, 6) as used_mean, round(x, 6) as used_max, round(size, 6) as size, round(100 * m / size, 6) as pct_mean, round(100 * x / size, 6) as pct_max from (select "window", avg(gib) as m, max(gib) as x from ({DISK}) group by 1) u join (select "window", avg(v) / 1073741824.0 as size from s where metric = 'filesystem_size' group by 1) w on u."window" = w."window" """
 add_points("a40_disk_stats", mo.disk_stats, DST)
 add_points("a41_load_stats", mo.load_stats, f"""select "window", {_P95('v', 'p95')}, round(avg(v), 6) as mean, round(max(v), 6) as max from s where metric = 'load_1' group by 1""")
-add_points("a41_bw_stats", mo.bw_stats, """select "window", substr(metric, 6) as direction, round(avg(v), 6) as mean, round(max(v), 6) as max from s where metric like 'bw%' group by all""")
+add_points("a41_bw_stats", mo.bw_stats, """select "window", substr(metric, 4) as direction, round(avg(v), 6) as mean, round(max(v), 6) as max from s where metric like 'bw%' group by all""")
 add_points("a42_do_summary", mo.do_summary, CPU + f""", m as ({MST}), k as ({CST}), d as ({DST}) select coalesce(m."window", k."window", d."window") as "window", m.used_mean as mem_mean, m.used_max as mem_max, m.total as mem_total, util_mean, util_p95, cores, d.used_mean as disk_mean, d.used_max as disk_max, 99 as window_ord from m full join k on m."window" = k."window" full join d on d."window" = coalesce(m."window", k."window")""")
 add_points("a63_mem_series", mo.mem_series, f'select "window", t, round(gib, 6) as gib from ({MEMORY})')
 add_points("a63_disk_series", mo.disk_series, f'select "window", t, round(gib, 6) as gib from ({DISK})')

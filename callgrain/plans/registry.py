@@ -263,3 +263,54 @@ SQL["x5_pairing"] = """with recursive e as (select user_id as conn, event_type,
    union all select rq.conn, rq.i, rq.ts, greatest(step.k + 1, (select count(*) from rs where rs.conn = rq.conn and rs.ts < rq.ts)) from step join rq on rq.conn = step.conn and rq.i = step.i + 1),
  z as (select step.conn, step.i, step.ts, rs.k, (rs.ts - step.ts) * 1000 as d from step left join rs on rs.conn = step.conn and rs.k = step.k)
  select conn, i, round(ts, 6) as ts, case when d > 3600000 then null else k end as k, round(case when d > 3600000 then null else d end, 6) as duration_ms, coalesce(d > 3600000, false) as scrubbed from z"""
+
+
+# ---- capture quality: an event is a flow; its value is the declared length, and some bodies and answers are missing
+def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.selectExpr(
+        "event_id as flow_id", "case when event_type = 'error' then null when event_type = 'signup' then 'GET' else 'POST' end as http_method", "cast(floor(value) as long) as declared",
+        "cast(case when event_id % 7 < 3 then 0 else floor(value) + 1 end as long) as body_bytes", "event_id % 2 = 0 as served", "event_id % 5 = 0 as upstream",
+        "case when user_id % 11 = 0 then '' else concat('agent', user_id % 5, ' v1') end as user_agent", "unix_micros(cast(ts as timestamp)) / 1e6D as ts_start",
+    )
+
+
+_FACTS = """f as (select event_id, case when event_type = 'error' then 'non_http' when event_type = 'signup' then 'non_post' when event_id % 7 >= 3 then 'delivered' when floor(value) = 0 then 'empty_ok' when event_id % 2 = 0 then 'capture_gap' else 'aborted' end as class,
+ event_id % 5 = 0 as upstream, case when user_id % 11 = 0 then '<none>' else 'agent' || (user_id % 5) end as user_agent, floor(epoch(ts) / 3600)::bigint as hour from events)"""
+
+
+def add_health(name: str, make: Callable[[DataFrame], DataFrame], sql: str) -> None:
+    from ..sources.mitm import classified
+
+    QUERIES[name] = lambda spark, d: _rounded(make(classified(_facts(spark, d))))
+    SQL[name] = f"with {_FACTS} {sql}"
+
+
+def _health() -> None:
+    from ..sources import mitm
+
+    classes = ("delivered", "aborted", "capture_gap", "empty_ok", "non_post", "non_http")
+    n = ", ".join(f"count(*) filter (class = '{c}') as {c}" for c in classes)
+    add_health("a36_health", mitm.health, f", z as (select {n}, count(*) filter (class = 'aborted' and upstream) as aborted_upstream from f), y as (select *, delivered + aborted + capture_gap + empty_ok as posts from z) select * exclude (posts), round(delivered / posts * 100, 6) as delivered_pct, round(capture_gap / posts * 100, 6) as gap_pct, capture_gap / posts * 100 <= 1 as verdict from y")
+    three = ", ".join(f"count(*) filter (class = '{c}') as {c}" for c in classes[:3])
+    for what in ("user_agent", "hour"):
+        add_health(f"a36_health_by_{what}", lambda c, w=what: mitm.health_by(c, w), f"select {what}, count(*) as flows, {three} from f where class in ('delivered', 'aborted', 'capture_gap') group by 1" + (" order by flows desc, user_agent limit 12" if what == "user_agent" else ""))
+
+
+_health()
+
+
+def _truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.pcap import truncation_report
+
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return _rounded(truncation_report(o.selectExpr(
+        "cast(o_custkey as string) as src", "'POST' as method", "'/' as path", "cast(case when o_orderkey % 9 = 0 then 0 else 1000 end as long) as declared",
+        "cast(case o_orderpriority when '1-URGENT' then 0 else o_orderkey % 2000 end as long) as body_seen", "o_orderkey % 13 <> 0 as headers_complete", "case o_orderstatus when 'F' then 'FIN' when 'O' then 'RST' else 'none' end as close",
+    )))
+
+
+QUERIES["a37_truncation_report"] = _truncated
+SQL["a37_truncation_report"] = """with r as (select case when o_orderkey % 9 = 0 then 0 else 1000 end as d, case o_orderpriority when '1-URGENT' then 0 else o_orderkey % 2000 end as b, o_orderkey % 13 <> 0 as h, case o_orderstatus when 'F' then 'FIN' when 'O' then 'RST' else 'none' end as c from orders),
+ z as (select *, h and d > 0 as have, h and d > 0 and b < d as cut from r) select count(*) as connections, count(*) filter (not h) as no_header, count(*) filter (have) as requests, count(*) filter (have and not cut) as complete, count(*) filter (cut) as truncated, count(*) filter (cut and b = 0) as zero, count(*) filter (cut and b > 0) as partial,
+ count(*) filter (cut and c = 'RST') as closed_rst, count(*) filter (cut and c = 'FIN') as closed_fin, count(*) filter (cut and c = 'none') as closed_none, round(count(*) filter (cut) / count(*) filter (have), 6) as truncated_share, count(*) filter (cut) / count(*) filter (have) >= 0.5 as verdict from z"""

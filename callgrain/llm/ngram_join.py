@@ -7,10 +7,10 @@ reach the threshold share a shingle among the first ``size - ceil(threshold * si
 1. documents with equal sets fall into one class; only its smallest id goes on;
 2. classes with equal prefix and size fall into one group, and only the group's id is posted under each shingle of its prefix;
 3. a shingle's list of groups gives group pairs of compatible sizes, each once; groups are expanded to their members;
-4. lists of up to ``LIST`` members give all their pairs. A longer list gives only pairs with a pivot. What turns out to be in the pivot's
-   component leaves the list; the others go on with new pivots, twice as many each round, together with those of the component that could
-   still link with them by a metric bound (512 parity bits of each set). So no link between components is lost, and a large group of near
-   copies ends with its first pivot instead of emitting all its pairs;
+4. lists of up to ``LIST`` members give all their pairs. A longer list gives only the pairs of a pivot, its member with the lowest place, the
+   nearest to what a family of near copies shares. What links with the pivot is one ball. The list goes on while it has members outside of
+   balls, but pairs within a ball are never made again. So no link between components is lost, and a large group of near copies ends with
+   its first pivot instead of emitting all its pairs;
 5. sizes and parity bits sift the pairs; the others are verified on the whole sets, first one for each document, then those whose ends are
    in different components still. Linked pairs give components.
 """
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from .base import WINDOW, free_shuffles, joined, mixed, schema, signed, staged, text_chunks, unstage, word_hashes
 from .components import components
 
-SKETCH, SLICES, LIST = 1 << 24, 64, 64
+SKETCH, SLICES, LIST, BLOCK = 1 << 24, 64, 64, 8192
 
 
 def shingles(texts: list[bytes], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -134,20 +134,22 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(prefix)), "doc": pa.array(np.repeat(part["doc"].to_numpy(), size)), "n": pa.array(np.repeat(part["n"].to_numpy(), size)), "place": pa.array(place)})
 
 
-def _pairs(percent: int, pivots: int):
-    """Rows (key, doc, n, place) sorted by key, place, doc to pairs (a, b): with a null key, or, where the list is longer than can be paired off,
-    with its key and b's place: a is its first pivot then and b a member that is no pivot (it meets the other pivots under null keys), or
-    the pivot itself.
+def _spare(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """How many elements sets of sizes x may have that sets of sizes y lack."""
+    return x - -(-(x + y) * percent // (100 + percent))
+
+
+def _pairs(percent: int):
+    """Postings (key, doc, n, place) sorted by key, place, doc to pairs (a, b): with a null key, or, where the list is longer than LIST, with
+    its key and each member b with its place.
 
     place is how many elements of the document's order come before the list's. If it is the first that two documents share, none of those
     is in the other, so each place is at most its size less the least intersection; pairs that can't meet this are left to the lists of
-    earlier elements. A pivot has the lowest place: of a family of near copies it is the nearest to what its members share. A list's rows may come in any number of batches; no more than the bound on all-pairs lists are held.
+    earlier elements. A list's rows may come in any number of batches; no more than LIST of them are held.
     """
-    bound = max(LIST, pivots)
 
     def spare(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """How many elements sets of sizes x may have that sets of sizes y lack."""
-        return x - -(-(x + y) * percent // (100 + percent))
+        return _spare(x, y, percent)
 
     def short(docs: np.ndarray, n: np.ndarray, place: np.ndarray, out: list) -> None:
         order = np.argsort(n, kind="stable")
@@ -177,9 +179,6 @@ def _pairs(percent: int, pivots: int):
 
         def star(docs: np.ndarray, n: np.ndarray, place: np.ndarray, out: list) -> None:
             out.append((np.full(len(docs), held[0][0]), docs, int(key), place))
-            for x, m, at in zip(*(c[1:] for c in held), strict=True):
-                meet = (at <= spare(m, n)) & (place <= spare(n, m)) & (n * percent <= m * 100) & (m * percent <= n * 100)
-                out.append((np.full(int(meet.sum()), x), docs[meet], None, None))
 
         for batch in batches:
             columns = [batch[x].to_numpy() for x in ("doc", "n", "place")]
@@ -199,12 +198,9 @@ def _pairs(percent: int, pivots: int):
                     star(*rows, out)
                     continue
                 held = tuple(np.concatenate([x, y]) for x, y in zip(held, rows, strict=True))
-                if len(held[0]) > bound:
+                if len(held[0]) > LIST:
                     long = True
-                    rest, held = tuple(c[pivots:] for c in held), tuple(c[:pivots] for c in held)
-                    short(*held, out)
-                    out.append((held[0][:1], held[0][:1], int(key), held[2][:1]))
-                    star(*rest, out)
+                    star(*held, out)
             yield from emit(out)
         if not long:
             out = []
@@ -214,6 +210,113 @@ def _pairs(percent: int, pivots: int):
     return run
 
 
+LISTED = "key long, a long, b long, place int"
+
+
+def _near(x: list[np.ndarray], y: list[np.ndarray], percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each of x (docs, n, place, bits, and a ball or 0) which of y sizes, places and parity bits let link with it, and no ball has both.
+
+    The parity of a set's elements over 512 places differs in at most as many places as two sets differ in elements.
+    """
+    for i, (doc, n, place, bits, ball) in enumerate(zip(*x, strict=True)):
+        m = y[1]
+        good = (m * percent <= n * 100) & (n * percent <= m * 100) & (place <= _spare(n, m, percent)) & (y[2] <= _spare(m, n, percent)) & (y[0] != doc) & ((y[4] != ball) | (ball == 0))
+        at = np.flatnonzero(good)
+        if len(at):
+            h = np.bitwise_count(y[3][at] ^ bits).sum(axis=1, dtype=np.int64)
+            at = at[h * (100 + percent) <= (m[at] + n) * (100 - percent)]
+            if len(at):
+                yield i, at
+
+
+def _plain_batch(out: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    a, b = np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
+    return pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.zeros(len(a), np.int32))], names=["key", "a", "b", "place"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(key, rows) of consecutive rows with one key; a list may come in several parts."""
+    for batch in batches:
+        keys = batch["key"].to_numpy()
+        if len(keys):
+            columns = [*(batch[c].to_numpy() for c in ("doc", "n", "place")), np.stack([batch[c].to_numpy() for c in BITS], axis=1).view(np.uint64), batch["ball"].to_numpy()]
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]]).tolist()
+            for s, e in zip(edges[:-1], edges[1:], strict=True):
+                yield int(keys[s]), [c[s:e] for c in columns]
+
+
+def _stars(percent: int):
+    """Lists sorted by key, place, doc to pairs with a null key. A list of more than LIST members gives only those of its pivot, the first
+    member, and all members with the key and the pivot. No more than LIST members are held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, long, held = None, False, None
+
+        def pairs(x: list[np.ndarray], y: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            if out := [(np.full(len(at), x[0][i]), y[0][at]) for i, at in _near(x, y, percent)]:
+                yield _plain_batch(out)
+
+        def settled() -> Iterator[pa.RecordBatch]:
+            if held is not None and not long:
+                out = [(np.full(len(at), held[0][i]), held[0][at]) for i, at in _near(held, held, percent)]
+                if out := [(x[y > x], y[y > x]) for x, y in out if (y > x).any()]:
+                    yield _plain_batch(out)
+
+        def members(part: list[np.ndarray]) -> pa.RecordBatch:
+            n = len(part[0])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, key)), pa.array(np.full(n, held[0][0])), pa.array(part[0]), pa.array(part[2])], names=["key", "a", "b", "place"])
+
+        for k, part in _runs(batches):
+            if k != key or key is None:
+                yield from settled()
+                key, long, held = k, False, None
+            if not long:
+                held = part if held is None else [np.concatenate([x, y]) for x, y in zip(held, part, strict=True)]
+                if len(held[0]) <= LIST:
+                    continue
+                long, part, held = True, held, [c[:1] for c in held]
+            yield from pairs(held, part)
+            yield members(part)
+        yield from settled()
+
+    return run
+
+
+def _blocks(percent: int):
+    """Lists of at most two blocks of members, told by side, to the pairs across sides, or all if there is but one; all are held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, None
+
+        def sided() -> Iterator[pa.RecordBatch]:
+            if held is None:
+                return
+            # place holds the side in its lowest bit here
+            side = held[2] & 1
+            rows = [held[0], held[1], held[2] >> 1, held[3], held[4]]
+            x, y = ([c[side == 0] for c in rows], [c[side == 1] for c in rows]) if side.any() else (rows, rows)
+            out = []
+            for i, at in _near(x, y, percent):
+                other = y[0][at] if side.any() else y[0][at][y[0][at] > x[0][i]]
+                if len(other):
+                    out.append((np.full(len(other), x[0][i]), other))
+                if len(out) > 20_000:
+                    yield _plain_batch(out)
+                    out = []
+            if out:
+                yield _plain_batch(out)
+
+        for k, part in _runs(batches):
+            if k != key or key is None:
+                yield from sided()
+                key, held = k, part
+            else:
+                held = [np.concatenate([x, y]) for x, y in zip(held, part, strict=True)]
+        yield from sided()
+
+    return run
+
+
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_chunks(batches):
@@ -261,8 +364,10 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     groups = live.select("p1", "p2", "n", "doc", "prefix").join(ids, ["p1", "p2", "n", "doc"]).select("doc", "n", "prefix").mapInArrow(_postings, schema("key long, doc long, n long, place int"))
     member_of = staged(grouped.select("doc", "n", "p1", "p2").join(ids.withColumnRenamed("doc", "group"), ["p1", "p2", "n"]).select("group", "doc", "n"))
 
-    def sifted(lists: DataFrame, pivots: int = 1) -> DataFrame:
-        return staged(lists.repartition("key").sortWithinPartitions("key", "place", "doc").mapInArrow(_pairs(percent, pivots), schema(PAIR)))
+    def sifted(lists: DataFrame, work) -> DataFrame:
+        """lists: (key, doc, place, ball), to what work makes of each."""
+        full = lists.join(grouped.select("doc", "n", *BITS), "doc").select("key", "place", "doc", "n", F.coalesce("ball", F.lit(0)).alias("ball"), *BITS)
+        return staged(full.repartition("key").sortWithinPartitions("key", "place", "doc").mapInArrow(work(percent), schema(LISTED)))
 
     differ = " + ".join(f"bit_count(x{k} ^ y{k})" for k in BITS)
 
@@ -275,22 +380,25 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     near = f"h * {100 + percent} <= (na + nb) * {100 - percent} and least(na, nb) * 100 >= greatest(na, nb) * {percent} and a <> b"
 
     # group pairs, each once; a hot shingle's list keeps its key and is expanded as a list
-    first = sifted(groups)
+    first = staged(groups.repartition("key").sortWithinPartitions("key", "place", "doc").mapInArrow(_pairs(percent), schema(PAIR)))
     crowds = member_of.groupBy("group").agg(F.count("*").alias("members")).where("members > 1")
     cold = first.where("key is null").select("a", "b").distinct()
     marked = cold.join(crowds.select(F.col("group").alias("a"), F.lit(True).alias("ca")), "a", "left").join(crowds.select(F.col("group").alias("b"), F.lit(True).alias("cb")), "b", "left")
     marked = staged(marked.select("a", "b", (F.col("ca").isNotNull() | F.col("cb").isNotNull()).alias("crowd")))
-    plain = marked.where("not crowd").select(F.lit(None).cast("long").alias("key"), "a", "b", F.lit(0).alias("place"))
+    plain = compared(marked.where("not crowd").select("a", "b")).where(near).select("a", "b")
     wide = marked.where("crowd").select(F.xxhash64("a", "b").alias("key"), F.explode(F.array("a", "b")).alias("group"), F.lit(0).alias("place"))
     own = crowds.select(F.xxhash64("group").alias("key"), "group", F.lit(0).alias("place"))
     hot = first.where("key is not null").select("key", F.col("b").alias("group"), "place")
-    lists = wide.unionByName(own).unionByName(hot).distinct().join(member_of, "group").select("key", "doc", "n", "place")
-    pairs = staged(sifted(lists).unionByName(plain))
+    lists = wide.unionByName(own).unionByName(hot).distinct().join(member_of, "group").select("key", "doc", "place", F.lit(None).cast("long").alias("ball"))
+    pairs = sifted(lists, _stars)
+    found = staged(pairs.where("key is null").select("a", "b").unionByName(plain).distinct())
     unstage(first, marked)
     free_shuffles(docs.sparkSession)
 
-    sets: DataFrame | None = None
-    edges: DataFrame | None = None
+    stars = pairs.where("key is not null")
+    need = found.unionByName(stars.select("a", "b")).select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = docs.join(need.hint("shuffle_hash"), "doc_id", "left_semi").groupBy("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("l")).agg(F.first("text").alias("text"))
+    sets = staged(texts.select("doc_id", "text").mapInArrow(_sets(width), schema("doc long, items binary")))
 
     def verified(found: DataFrame, old: DataFrame | None) -> DataFrame:
         told = found.join(sets.select(F.col("doc").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("doc").alias("b"), F.col("items").alias("y")), "b")
@@ -303,40 +411,48 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
             df = df.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"c{c}")), c, "left").withColumn(f"c{c}", F.coalesce(f"c{c}", c))
         return df
 
-    pivots = 1
-    while True:
-        found = staged(compared(pairs.select("a", "b").distinct()).where(near).select("a", "b").distinct())
-        stars = pairs.where("key is not null and a <> b")
-        if sets is None:
-            need = found.unionByName(stars.select("a", "b")).select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-            texts = docs.join(need.hint("shuffle_hash"), "doc_id", "left_semi").groupBy("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("l")).agg(F.first("text").alias("text"))
-            sets = staged(texts.select("doc_id", "text").mapInArrow(_sets(width), schema("doc long, items binary")))
-        # a pair whose ends are known to be in one component says nothing new: first one pair a document, then what that leaves
+    def linked(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Links, and a root that each linked document is in one component with. A pair whose ends are known to be in one component says
+        nothing new: first one pair a document is verified, then what that leaves."""
         forest = staged(found.groupBy("b").agg(F.min("a").alias("a")))
         trees = verified(forest, None)
         up = trees.select(F.col("b").alias("node"), F.col("a").alias("root"))
         roots = staged(up.join(up.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root")))
         rest = rooted(found.join(forest, ["a", "b"], "left_anti"), roots, "a", "b").where("ca <> cb").select("a", "b")
-        links = verified(rest, trees)
-        edges = links if edges is None else edges.unionByName(links)
-        if stars.isEmpty():
-            break
-        # A list goes on with what isn't linked with its pivot. Parities differ by a metric, so what is linked with the pivot links only with
-        # members that are at most the threshold's difference further from the pivot; if there are any, both go on together.
+        return verified(rest, trees), roots
+
+    def balled(stars: DataFrame, links: DataFrame, roots: DataFrame) -> DataFrame:
+        """Members of long lists; those that link with the pivot are its ball, as is the pivot."""
         direct = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().withColumn("linked", F.lit(True))
-        told = rooted(compared(stars), roots, "a", "b").join(direct, ["a", "b"], "left")
-        kept = told = staged(told.select("key", "h", F.col("b").alias("doc"), F.col("nb").alias("n"), "place", (F.col("linked").isNotNull() | (F.col("ca") == F.col("cb"))).alias("ours"), F.col("na").alias("np")))
-        reach = told.groupBy("key").agg(F.max(F.when(F.col("ours"), F.col("h"))).alias("hb"), F.max(F.greatest("n", "np")).alias("big"), F.least(F.min("n"), F.min("np")).alias("least"), F.count_if(~F.col("ours")).alias("others")).where("others > 0")
-        # a member whose place is beyond what even the list's smallest set allows has no partner in this list
-        told = told.join(reach, "key").where(f"place <= n - ceil((n + least) * {percent} / {100 + percent})").withColumn("border", F.expr(f"not ours and (h - hb) * {100 + percent} <= 2 * big * {100 - percent}"))
-        mixed_keys = told.where("border").select("key").distinct()
-        again = told.where("not ours").select(F.xxhash64("key", F.lit("others")).alias("key"), "doc", "n", "place")
-        again = again.unionByName(told.where("ours or border").join(mixed_keys, "key").select(F.xxhash64("key", F.lit("border")).alias("key"), "doc", "n", "place"))
-        pivots *= 2  # lists whose members are all far apart end after a logarithm of rounds
-        unstage(pairs)
-        pairs = sifted(again.distinct(), pivots)
-        unstage(kept, roots, found, forest)
-        free_shuffles(docs.sparkSession)
+        told = rooted(stars, roots, "a", "b").join(direct, ["a", "b"], "left")
+        ours = F.col("linked").isNotNull() | (F.col("ca") == F.col("cb")) | (F.col("a") == F.col("b"))
+        return staged(told.select("key", F.col("b").alias("doc"), "place", F.when(ours, F.col("a")).alias("ball")))
+
+    edges, roots = linked(found)
+    if not stars.isEmpty():
+        members = balled(stars, edges, roots)
+        # further families of near copies in what is outside of a long list's ball; this only saves pairs, the blocks below leave nothing out
+        for _ in range(3):
+            outside = members.where("ball is null")
+            many = outside.groupBy("key").agg(F.count("*").alias("k")).where(F.col("k") > LIST).select("key")
+            more = sifted(outside.join(many, "key"), _stars)
+            again = more.where("key is not null")
+            if again.isEmpty():
+                break
+            links, roots = linked(staged(more.where("key is null").select("a", "b").distinct()))
+            edges = edges.unionByName(links)
+            new = balled(again, links, roots).select("key", "doc", F.col("ball").alias("new"))
+            members = staged(members.join(new, ["key", "doc"], "left").select("key", "doc", "place", F.coalesce("ball", "new").alias("ball")))
+            free_shuffles(docs.sparkSession)
+        # every two members of a long list that no ball has both: in blocks, each with itself and each other, by sizes, places and parities
+        size = members.groupBy("key").agg(F.count("*").alias("k"), F.countDistinct(F.coalesce("ball", F.col("doc"))).alias("parts")).where("parts > 1").select("key", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
+        dealt = members.join(size, "key").withColumn("mine", F.pmod(F.xxhash64("doc"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        side = F.when(F.col("mine") > F.col("other"), 1).otherwise(0)
+        cut = dealt.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "doc", (F.col("place") * 2 + side).cast("int").alias("place"), "ball")
+        crossed = sifted(cut, _blocks)
+        links, roots = linked(staged(crossed.select("a", "b").distinct()))
+        edges = edges.unionByName(links)
+    edges = staged(edges.distinct())
     free_shuffles(docs.sparkSession)
     # rows that share a doc_id tie the classes of their texts
     ours = live.select("one", "two", "n", F.col("doc").alias("doc_id"))

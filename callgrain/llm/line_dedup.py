@@ -269,10 +269,11 @@ def line_dedup(docs: DataFrame, least: int = 20) -> DataFrame:
 
     again = lines.groupBy("h1", "h2").agg(F.count("*").alias("k"), F.min(F.struct("doc_id", "rk", "no")).alias("keep")).where("k > 1")
     gone = again.select("h1", "h2", "keep", F.lit(False).alias("all")).unionByName(near.select("h1", "h2", F.lit(None).cast(again.schema["keep"].dataType).alias("keep"), F.lit(True).alias("all")))
-    gone = gone.groupBy("h1", "h2").agg(F.max("keep").alias("keep"), F.max("all").alias("all"))
+    # written, so that the join below stands directly on its exchanges and Spark can split a hot line
+    gone = staged(gone.groupBy("h1", "h2").agg(F.max("keep").alias("keep"), F.max("all").alias("all")))
     drops = lines.select("doc_id", "rk", "no", "h1", "h2").join(gone, ["h1", "h2"]).where(F.col("all") | (F.col("keep") != F.struct("doc_id", "rk", "no")))
     drops = staged(drops.groupBy("rk").agg(F.collect_set(F.col("no").cast("int")).alias("_drop")).withColumnRenamed("rk", "_rk"))
-    unstage(lines, candidates, near)
+    unstage(lines, candidates, near, gone)
     out = keyed.join(drops.hint("shuffle_hash"), "_rk", "left").drop("_rk")
     kept = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.IntegerType()), T.StructField("n_dropped", T.IntegerType())])
     return out.mapInArrow(_cleaned, kept)

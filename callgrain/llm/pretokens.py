@@ -7,6 +7,7 @@ In SAFE ranges the classes \\p{L}, \\p{N} and \\s, lower case and NFC of this Py
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -35,6 +36,9 @@ class ByteLevel:
 
     PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
+    #: The same on ASCII alone, where the standard library is twice as fast.
+    ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^ \t-\rA-Za-z0-9]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
+
     def __init__(self, path: str):
         self.path, self.tokenizer = path, library(path)
         self.special = regex.compile("|".join(map(regex.escape, specials(path))) or r"(?!)")
@@ -42,7 +46,9 @@ class ByteLevel:
         self.known = dict(self.whole)
 
     def pre_tokens(self, text: str) -> list[str]:
-        if text.isascii() or not UNSAFE.search(text):
+        if text.isascii():
+            return self.ASCII.findall(text)
+        if not UNSAFE.search(text):
             return self.PATTERN.findall(text)
         return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
@@ -83,6 +89,8 @@ class WordEnds:
     """BPE with word ends, NFC, lower case and dropped white space: ids as little-endian 32-bit bytes."""
 
     PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+    #: The same on lower-case ASCII.
+    ASCII = re.compile(r"[a-z]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^ \t-\ra-z0-9]+")
 
     def __init__(self, path: str):
         self.path, self.tokenizer = path, library(path)
@@ -92,7 +100,7 @@ class WordEnds:
 
     def pre_tokens(self, text: str) -> list[str]:
         if text.isascii():
-            return self.PATTERN.findall(text.lower())
+            return self.ASCII.findall(text.lower())
         if not UNSAFE.search(text):
             # one character at a time, as the library has it: no final sigma
             return self.PATTERN.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())

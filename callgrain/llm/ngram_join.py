@@ -411,15 +411,29 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
             df = df.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"c{c}")), c, "left").withColumn(f"c{c}", F.coalesce(f"c{c}", c))
         return df
 
+    def topped(up: DataFrame) -> DataFrame:
+        """Pointers (node, root), one a node, followed eight steps."""
+        for _ in range(3):
+            up = up.join(up.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+        return staged(up)
+
     def linked(found: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Links, and a root that each linked document is in one component with. A pair whose ends are known to be in one component says
-        nothing new: first one pair a document is verified, then what that leaves."""
-        forest = staged(found.groupBy("b").agg(F.min("a").alias("a")))
-        trees = verified(forest, None)
-        up = trees.select(F.col("b").alias("node"), F.col("a").alias("root"))
-        roots = staged(up.join(up.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root")))
-        rest = rooted(found.join(forest, ["a", "b"], "left_anti"), roots, "a", "b").where("ca <> cb").select("a", "b")
-        return verified(rest, trees), roots
+        nothing new: twice one pair a document is verified, then what that leaves."""
+        rest = found.select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb"))
+        links: DataFrame | None = None
+        roots: DataFrame | None = None
+        for _ in range(2):
+            forest = staged(rest.groupBy("b").agg(F.min(F.struct("a", "ca", "cb")).alias("m")).select("m.a", "b", "m.ca", "m.cb"))
+            trees = verified(forest.select("a", "b"), None)
+            good = forest.join(trees, ["a", "b"])
+            up = topped(good.select(F.greatest("ca", "cb").alias("node"), F.least("ca", "cb").alias("root")).groupBy("node").agg(F.min("root").alias("root")))
+            links = trees if links is None else links.unionByName(trees)
+            rest = rest.join(forest.select("a", "b"), ["a", "b"], "left_anti")
+            rest = staged(rooted(rest.select("a", "b", F.col("ca").alias("x"), F.col("cb").alias("y")), up, "x", "y").where("cx <> cy").select("a", "b", F.col("cx").alias("ca"), F.col("cy").alias("cb")))
+            # roots of documents: those of their former roots
+            roots = up if roots is None else staged(roots.withColumnRenamed("root", "r").join(up.select(F.col("node").alias("r"), "root"), "r", "left").select("node", F.coalesce("root", "r").alias("root")).unionByName(up.join(roots, "node", "left_anti")))
+        return verified(rest.select("a", "b"), links), roots
 
     def balled(stars: DataFrame, links: DataFrame, roots: DataFrame) -> DataFrame:
         """Members of long lists; those that link with the pivot are its ball, as is the pivot."""

@@ -124,7 +124,7 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, rule: str, quan
     held = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
     counted = held.groupBy(*keys, "v").agg(F.count("*").alias("c"))
     span = held.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
-    spread = counted.join(span, keys) if keys else counted.crossJoin(F.broadcast(span))  # a single row
+    spread = counted.join(span, keys) if keys else counted.join(F.broadcast(span), F.lit(True), "left")  # a single row
     celled = spread.withColumn("cell", F.when(F.col("hi") > F.col("lo"), F.least(F.lit(CELLS - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * CELLS))).otherwise(F.lit(0)).cast("int"))
     cells = celled.groupBy(*keys, "cell").agg(F.sum("c").alias("c"), F.first("n").alias("n"))
     running = Window.partitionBy(*keys).orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)

@@ -90,7 +90,7 @@ def reweighted_stats(df: DataFrame, shares: DataFrame) -> DataFrame:
     at = df.groupBy("method", "v").agg(F.count("*").alias("c")).join(weight, "method").groupBy("v").agg(F.sum(F.col("c") * F.col("w")).alias("w"))
     span = at.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("w").alias("total"), F.sum(F.col("w") * F.col("v")).alias("wv"))
     cell = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(x.CELLS - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * x.CELLS))).otherwise(F.lit(0)).cast("int")
-    celled = at.crossJoin(F.broadcast(span)).withColumn("cell", cell)  # span is one row
+    celled = at.join(F.broadcast(span), F.lit(True), "left").withColumn("cell", cell)  # span is one row
     cells = celled.groupBy("cell").agg(F.sum("w").alias("cw"))
     before = cells.select("cell", (F.sum("cw").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("cw")).alias("before"))  # at most CELLS rows
     inside = Window.partitionBy("cell").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)

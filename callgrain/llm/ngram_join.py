@@ -401,6 +401,8 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     sets = staged(texts.select("doc_id", "text").mapInArrow(_sets(width), schema("doc long, items binary")))
 
     def verified(found: DataFrame, old: DataFrame | None) -> DataFrame:
+        if found.isEmpty():  # else the sets are moved for nothing
+            return staged(found.select("a", "b")) if old is None else old
         told = found.join(sets.select(F.col("doc").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("doc").alias("b"), F.col("items").alias("y")), "b")
         checked = told.select("a", "b", "x", "y").mapInArrow(_verified, schema("a long, b long, same long, union long"))
         good = checked.where(f"100 * same >= {percent} * union").select("a", "b").distinct()

@@ -31,7 +31,8 @@ SKETCH, SLICES, LIST, BLOCK = 1 << 24, 64, 64, 8192
 
 
 def shingles(texts: list[bytes], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each text its distinct shingle hashes in ascending order, and a length in bytes for each. Fewer words than width: the whole sequence."""
+    """For each text its distinct shingle hashes in ascending order, and a length for each: the bytes of its words, without what stands between
+    them, so that it is the same in every text. Fewer words than width: the whole sequence."""
     buf, starts = joined(texts)
     words, begin, end = word_hashes(buf)
     cut = np.searchsorted(begin, starts)
@@ -40,7 +41,8 @@ def shingles(texts: list[bytes], width: int) -> Iterator[tuple[np.ndarray, np.nd
         many = np.zeros(full, np.uint64)
         for i in range(width):
             many = mixed(many ^ words[i : i + full]) + np.uint64(i + 1)
-    size = end[width - 1 :][:full] - begin[:full]
+    length = np.concatenate([[0], np.cumsum(end - begin)])
+    size = length[width:][:full] - length[:full]
     for a, b in zip(cut[:-1], cut[1:], strict=True):
         if b - a >= width:
             h, at = np.unique(many[a : b - width + 1], return_index=True)
@@ -49,7 +51,7 @@ def shingles(texts: list[bytes], width: int) -> Iterator[tuple[np.ndarray, np.nd
             h = np.full(1, 0x5851F42D4C957F2D + int(b - a), np.uint64)
             for w in words[a:b]:
                 h = mixed(h ^ w)
-            yield h, end[b - 1 : b] - begin[a : a + 1]
+            yield h, length[b : b + 1] - length[a : a + 1]
         else:
             yield words[:0], begin[:0]
 

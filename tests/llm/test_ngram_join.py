@@ -55,3 +55,24 @@ def test_repeated_ids_and_empty_table(spark):
     df = spark.createDataFrame([(1, "a b c d e"), (5, "a b c d e"), (5, "x y z"), (3, "x y z"), (5, "x y z")], "doc_id long, text string")
     assert {(r.doc_id, r.component_id) for r in m.ngram_join(df).collect()} == {(1, 1), (5, 1), (3, 1)}
     assert m.ngram_join(df.limit(0)).count() == 0
+
+
+def test_near_copies_with_indents_at_some_places(spark):
+    r = random.Random(4)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(1, 9))) for _ in range(3000)]
+    rows = []
+    for d in range(60):
+        base = [r.choice(words) for _ in range(62)]
+        copy = list(base)
+        copy[r.randrange(len(copy))] = "changed"
+        places = set(range(10, len(copy), 10)) if d % 2 else {r.randrange(1, len(copy)) for _ in range(6)}
+        rows += [(2 * d, " ".join(base)), (2 * d + 1, "".join(("\n        " if i in places else " ") + w for i, w in enumerate(copy)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute(rows, 3, 90)
+    assert sum(c == d - 1 for d, _, c in want) == 60  # each copy links with its original
+    assert sorted(((x.doc_id, x.n_shingles, x.component_id) for x in m.ngram_join(df, width=3, percent=90).collect()), key=str) == want
+
+
+def test_a_shingle_has_one_length_in_every_text():
+    one, two = m.shingles([b"aa b ccc d", b"aa\n        b ccc\t d"], 3)
+    assert one[0].tolist() == two[0].tolist() and one[1].tolist() == two[1].tolist() and sorted(one[1].tolist()) == [5, 6]

@@ -7,14 +7,14 @@ item must stand for one value of the document throughout, and two for two. So co
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .base import MARKS, folded, joined, mixed, schema, text_chunks, word_hashes
+from .base import MARKS, folded, joined, mixed, powers, schema, text_chunks, word_hashes
 
 #: Units of measure that stand after a number.
 UNITS = "mm cm m km in ft yd mi mg g kg t lb lbs oz ml l s sec second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years percent usd eur gbp dollar dollars euro euros cent cents km/h mph kmh meter meters metre metres kilometer kilometers kilogram kilograms gram grams liter liters litre litres mile miles foot feet inch inches pound pounds hz khz mhz ghz kb mb gb tb w kw mw v a".split()
@@ -79,8 +79,22 @@ def windows(c: Canonical, width: int, literal: int) -> tuple[np.ndarray, np.ndar
     return h, (text[:n] == text[width - 1 : width - 1 + n]) & (words[width : width + n] - words[:n] >= literal)
 
 
+def sums(words: np.ndarray) -> np.ndarray:
+    """Sums of the words' hashes times powers of an odd number, from which stretches() has the hash of a stretch of any length."""
+    with np.errstate(over="ignore"):
+        return np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers(len(words)), dtype=np.uint64)])
+
+
+def stretches(s: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Hash of the stretch of so many words that starts at each place: the same stretch has the same hash anywhere."""
+    with np.errstate(over="ignore"):
+        back = np.full(len(s), pow(int(powers(2)[1]), -1, 1 << 64), np.uint64)
+        back[0] = 1
+        return (s[at + length] - s[at]) * np.cumprod(back, dtype=np.uint64)[at]
+
+
 class Benchmark:
-    """A block of items: their windows sorted by hash. Held by every task; callers bound its size."""
+    """A block of items: their windows sorted by hash, and the hashes of items that have no window. Held by every task; callers bound its size."""
 
     def __init__(self, items: list[tuple[int, str]], width: int, literal: int):
         self.width, self.literal, self.ids = width, literal, [i for i, _ in items]
@@ -92,6 +106,20 @@ class Benchmark:
         self.place = at - c.cut[self.item]
         self.size = np.bincount(self.item, minlength=len(items))
         self.kind, self.own, self.cut = c.kind, c.own, c.cut
+        # items without a window: all their words are one, as they stand, and as a template too if that has enough literal words
+        length = np.diff(c.cut)
+        whole = np.flatnonzero((self.size == 0) & (length > 0))
+        self.size[whole] = 1
+        words = np.concatenate([[0], np.cumsum(c.kind == WORD)])
+        plenty = whole[words[c.cut[whole + 1]] - words[c.cut[whole]] >= literal]
+        self.whole: list[tuple[bool, int, np.ndarray, np.ndarray]] = []  # by own words or template, length, hashes in order, items
+        for own, some in ((True, whole), (False, plenty)):
+            s = sums(c.own if own else c.template) if len(some) else None
+            for n in np.unique(length[some]).tolist():
+                these = some[length[some] == n]
+                h = stretches(s, c.cut[these], n)
+                order = np.argsort(h, kind="stable")
+                self.whole.append((own, n, h[order], these[order]))
 
 
 def consistent(ours: np.ndarray, theirs: np.ndarray) -> bool:
@@ -101,25 +129,27 @@ def consistent(ours: np.ndarray, theirs: np.ndarray) -> bool:
     return all(there.setdefault(a, b) == b and back.setdefault(b, a) == a for a, b in zip(ours.tolist(), theirs.tolist(), strict=True))
 
 
-def matches(texts: list[bytes], bench: Benchmark, share: float) -> list[tuple[int, int, float, bool, int, int]]:
-    """(text, item, share of the item's windows, whether slots differ, start byte, end byte), one for each text and item."""
-    c = canonical(texts)
+def _joined(h: np.ndarray, at: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, index into hashes) for all equal hashes; hashes are in order."""
+    lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+    many = hi - lo
+    at, lo, many = at[many > 0], lo[many > 0], many[many > 0]
+    return np.repeat(at, many), np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+
+
+def _aligned(c: Canonical, bench: Benchmark, found: Callable) -> None:
+    """Runs of aligned windows whose slots agree."""
     h, good = windows(c, bench.width, bench.literal)
     at = np.flatnonzero(good)
     if not len(at) or not len(bench.hash):
-        return []
-    lo, hi = np.searchsorted(bench.hash, h[at], "left"), np.searchsorted(bench.hash, h[at], "right")
-    many = hi - lo
-    at, lo, many = at[many > 0], lo[many > 0], many[many > 0]
-    if not len(at):
-        return []
-    word = np.repeat(at, many)
-    hit = np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        return
+    word, hit = _joined(h[at], at, bench.hash)
+    if not len(word):
+        return
     text, item, shift = np.searchsorted(c.cut, word, "right") - 1, bench.item[hit], word - bench.place[hit]
     order = np.lexsort((word, shift, item, text))
     text, item, shift, word, place = text[order], item[order], shift[order], word[order], bench.place[hit][order]
     edge = np.flatnonzero(np.diff(text) | np.diff(item) | np.diff(shift)) + 1
-    best: dict[tuple[int, int], list] = {}
     for a, b in zip(np.concatenate([[0], edge]).tolist(), np.concatenate([edge, [len(text)]]).tolist(), strict=True):
         # the words of a run of aligned windows: their slots must agree, else the run doesn't count
         offsets = np.unique((place[a:b, None] + np.arange(bench.width)).ravel())
@@ -127,21 +157,61 @@ def matches(texts: list[bytes], bench: Benchmark, share: float) -> list[tuple[in
         slots = (bench.kind[ours] > 0) & (c.kind[theirs] > 0)
         x, y = bench.own[ours][slots], c.own[theirs][slots]
         if consistent(x, y):
-            found = best.setdefault((int(text[a]), int(item[a])), [set(), False, len(c.own), 0])
-            found[0].update(place[a:b].tolist())
-            found[1] |= bool((x != y).any())
-            found[2], found[3] = min(found[2], int(word[a])), max(found[3], int(word[b - 1]) + bench.width - 1)
+            gaps = np.flatnonzero(np.diff(offsets) > 1) + 1
+            longest = int(np.diff(np.concatenate([[0], gaps, [len(offsets)]])).max())
+            found(int(text[a]), int(item[a]), place[a:b].tolist(), bool((x != y).any()), int(word[a]), int(word[b - 1]) + bench.width - 1, longest)
+
+
+def _whole(c: Canonical, bench: Benchmark, found: Callable) -> None:
+    """Items that have no window, where all their words stand in a text."""
+    held: dict[bool, np.ndarray] = {}
+    for own, length, hashes, items in bench.whole:
+        if len(c.own) < length:
+            continue
+        if own not in held:
+            held[own] = sums(c.own if own else c.template)
+        at = np.arange(len(c.own) - length + 1)
+        word, hit = _joined(stretches(held[own], at, length), at, hashes)
+        text, item = np.searchsorted(c.cut, word, "right") - 1, items[hit]
+        inside = word + length <= c.cut[text + 1]
+        text, item, word = text[inside], item[inside], word[inside]
+        if own:  # the first and the last place of each text and item tell all
+            order = np.lexsort((word, item, text))
+            text, item, word = text[order], item[order], word[order]
+            new = (np.diff(text) | np.diff(item)) != 0
+            ends = np.concatenate([[True], new]) | np.concatenate([new, [True]]) if len(text) else np.zeros(0, bool)
+            text, item, word = text[ends], item[ends], word[ends]
+        for t, i, w in zip(text.tolist(), item.tolist(), word.tolist(), strict=True):
+            ours, theirs = slice(bench.cut[i], bench.cut[i] + length), slice(w, w + length)
+            slots = (bench.kind[ours] > 0) & (c.kind[theirs] > 0)
+            x, y = bench.own[ours][slots], c.own[theirs][slots]
+            if own or consistent(x, y):
+                found(t, i, [0], not own and bool((x != y).any()), w, w + length - 1, 0)
+
+
+def matches(texts: list[bytes], bench: Benchmark, share: float, run: int = 50) -> list[tuple[int, int, float, bool, int, int]]:
+    """(text, item, share of the item's windows, whether slots differ, start byte, end byte), one for each text and item."""
+    c = canonical(texts)
+    best: dict[tuple[int, int], list] = {}
+
+    def found(text: int, item: int, places: list[int], other: bool, first: int, last: int, longest: int) -> None:
+        x = best.setdefault((text, item), [set(), False, len(c.own), 0, 0])
+        x[0].update(places)
+        x[1:] = x[1] | other, min(x[2], first), max(x[3], last), max(x[4], longest)
+
+    _aligned(c, bench, found)
+    _whole(c, bench, found)
     out = []
-    for (t, i), (places, other, first, last) in best.items():
-        if len(places) >= share * bench.size[i]:
+    for (t, i), (places, other, first, last, longest) in best.items():
+        if len(places) >= share * bench.size[i] or longest >= run:
             out.append((t, bench.ids[i], len(places) / int(bench.size[i]), other, int(c.begin[first] - c.starts[t]), int(c.end[last] - c.starts[t])))
     return out
 
 
-def _matched(bench: Benchmark, share: float):
+def _matched(bench: Benchmark, share: float, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_chunks(batches):
-            if found := matches(texts, bench, share):
+            if found := matches(texts, bench, share, least):
                 docs = part["doc_id"].cast(pa.int64()).to_pylist()
                 columns = list(zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays(
@@ -152,10 +222,10 @@ def _matched(bench: Benchmark, share: float):
     return run
 
 
-def _kept(bench: Benchmark, share: float):
+def _kept(bench: Benchmark, share: float, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_chunks(batches):
-            out = {t for t, *_ in matches(texts, bench, share)}
+            out = {t for t, *_ in matches(texts, bench, share, least)}
             yield part if not out else part.filter(pa.array([i not in out for i in range(len(texts))]))
 
     return run
@@ -171,11 +241,14 @@ def _blocks(benchmark: DataFrame, width: int, literal: int, most_chars: int) ->
         yield Benchmark([(r["item_id"], r["text"]) for r in own.collect()], width, literal)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, literal: int = 5, share: float = 0.5, most_chars: int = 20_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, literal: int = 5, share: float = 0.5, most_chars: int = 20_000_000, run: int = 50) -> DataFrame:
     """Pairs of documents (doc_id, text) and benchmark items (item_id, text) where at least `share` of the item's windows of `width` template
-    words stand in the document, with consistent slots: doc_id, item_id, share, reparameterised, start_byte, end_byte (of the UTF-8 text).
+    words stand in the document, with consistent slots, or where windows cover `run` words of it on end: doc_id, item_id, share,
+    reparameterised, start_byte, end_byte (of the UTF-8 text).
 
-    Windows with fewer than `literal` words besides placeholders don't count, nor do items without such a window. The benchmark is held by
+    Windows with fewer than `literal` words besides placeholders don't count. An item without such a window (a short one, or one dense in
+    numbers and names) is one window as a whole: it matches word for word (in any case and punctuation, however short it is), and with
+    other slots too if it has `literal` words besides placeholders. Items without a word match nothing. The benchmark is held by
     tasks in blocks of about most_chars, one pass over the documents each, so neither side is ever shuffled and a passage that many
     documents share costs each of them alone. Null and empty texts match nothing; null doc_ids stay null; repeated rows and items match
     each; other columns are ignored; empty tables give no rows.
@@ -184,13 +257,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, literal:
     kind = schema("doc_id long, item_id long, share double, reparameterised boolean, start_byte long, end_byte long")
     out = docs.sparkSession.createDataFrame([], kind)
     for bench in _blocks(benchmark, width, literal, most_chars):
-        out = out.unionByName(docs.mapInArrow(_matched(bench, share), kind))
+        out = out.unionByName(docs.mapInArrow(_matched(bench, share, run), kind))
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 8, literal: int = 5, share: float = 0.5, most_chars: int = 20_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 8, literal: int = 5, share: float = 0.5, most_chars: int = 20_000_000, run: int = 50) -> DataFrame:
     """The rows of docs that match no item, by the same rule; all columns stay."""
     kept = docs
     for bench in _blocks(benchmark, width, literal, most_chars):
-        kept = kept.mapInArrow(_kept(bench, share), docs.schema)
+        kept = kept.mapInArrow(_kept(bench, share, run), docs.schema)
     return kept

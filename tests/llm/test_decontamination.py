@@ -56,3 +56,27 @@ def test_against_plain_comparison_in_blocks(spark):
         assert left.columns == df.columns and left.count() == len(docs) - len({x[1:].split(",")[0] for x in want}) - ("(0," in " ".join(want))
     assert m.contaminated(df.limit(0), bench).count() == 0 and m.contaminated(df, bench.limit(0)).count() == 0
     assert m.decontaminate(df, bench.limit(0)).count() == len(docs)
+
+
+def test_items_without_a_window_match_as_a_whole():
+    short, dense, named, odd = "Who wrote the first Latin grammar?", "Add 12 34 56 kg Ann 7 8 9 to 3 4 5", "The 7 cats 5 Ann saw 5 dogs 9 and 9 cows 8 by 4", "?!"
+    items = [(1, short), (2, dense), (3, named), (4, odd), (5, None)]
+    for i, t in ((1, short), (2, dense), (3, named)):
+        assert run(f"Some words before it, {t} And after.", items) == [(i, False)]
+        assert run(t, items) == run(t.upper(), items) == run(t + " " + t, items) == [(i, False)]
+    assert run("Who wrote the second Latin grammar?", items) == run("Who wrote the first Latin", items) == run("?!", items) == []
+    assert run(dense.replace("34", "35"), items) == []  # too few literal words for other slots
+    assert run(named.replace("Ann", "Eve").replace("5", "6"), items) == [(3, True)]
+    assert run(named.replace("7", "5"), items) == []  # one value of the text for two of the item
+    texts, bench = [b"Who wrote the first", b"Latin grammar?", b"", short.encode()], m.Benchmark(items, 8, 5)
+    assert [x[:2] for x in m.matches(texts, bench, 0.5)] == [(3, 1)]  # never across two texts
+    (_, _, share, _, a, b), = m.matches([f"\u00e9 {short} x".encode()], bench, 0.5)
+    assert share == 1.0 and f"\u00e9 {short} x".encode()[a:b].decode() == short[:-1]
+
+
+def test_a_long_passage_of_a_longer_item():
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    item = [(1, " ".join(words))]
+    assert run("before it " + " ".join(words[100:150]) + " after it", item) == [(1, False)]
+    assert run(" ".join(words[100:149]), item) == []
+    assert run(" ".join(words[100:149] + ["x"] + words[150:170]), item) == []  # not on end

@@ -2,7 +2,7 @@
 
 Words of benchmark items and of documents are canonical: numbers, names and units become typed placeholders, other words are folded. Windows of
 template words are hashed and joined; windows that line up between an item and a document then have their slots checked: one value of the
-item must stand for one value of the document throughout, and two for two. So copies are found, and questions with other numbers or names.
+item must stand for one value of the document throughout, and two for two; windows with a slot that breaks this don't count. So copies are found, and questions with other numbers or names.
 """
 
 from __future__ import annotations
@@ -129,6 +129,19 @@ def consistent(ours: np.ndarray, theirs: np.ndarray) -> bool:
     return all(there.setdefault(a, b) == b and back.setdefault(b, a) == a for a, b in zip(ours.tolist(), theirs.tolist(), strict=True))
 
 
+def conflicting(ours: np.ndarray, theirs: np.ndarray) -> np.ndarray:
+    """Which slots conflict with others: all but those whose two values stand for each other more often than for any other value."""
+    pairs, which, times = np.unique(np.stack([ours, theirs], axis=1), axis=0, return_inverse=True, return_counts=True)
+    good = np.ones(len(pairs), bool)
+    for side in (0, 1):
+        value = np.unique(pairs[:, side], return_inverse=True)[1].ravel()
+        most = np.zeros(len(pairs), np.int64)
+        np.maximum.at(most, value, times)
+        rivals = np.bincount(value[times == most[value]], minlength=len(pairs))
+        good &= (times == most[value]) & (rivals[value] == 1)
+    return ~good[which.ravel()]
+
+
 def _joined(h: np.ndarray, at: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place, index into hashes) for all equal hashes; hashes are in order."""
     lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
@@ -137,8 +150,16 @@ def _joined(h: np.ndarray, at: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarr
     return np.repeat(at, many), np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
 
 
+def _slots(c: Canonical, bench: Benchmark, item: int, shift: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words that aligned windows of an item cover, which of them are slots, and the slots' values in the item and in the text."""
+    offsets = np.unique((at[:, None] + np.arange(bench.width)).ravel())
+    ours, theirs = offsets + bench.cut[item], offsets + shift
+    slots = (bench.kind[ours] > 0) & (c.kind[theirs] > 0)
+    return offsets, slots, bench.own[ours][slots], c.own[theirs][slots]
+
+
 def _aligned(c: Canonical, bench: Benchmark, found: Callable) -> None:
-    """Runs of aligned windows whose slots agree."""
+    """Runs of aligned windows; those that cover a conflicting slot don't count."""
     h, good = windows(c, bench.width, bench.literal)
     at = np.flatnonzero(good)
     if not len(at) or not len(bench.hash):
@@ -151,15 +172,18 @@ def _aligned(c: Canonical, bench: Benchmark, found: Callable) -> None:
     text, item, shift, word, place = text[order], item[order], shift[order], word[order], bench.place[hit][order]
     edge = np.flatnonzero(np.diff(text) | np.diff(item) | np.diff(shift)) + 1
     for a, b in zip(np.concatenate([[0], edge]).tolist(), np.concatenate([edge, [len(text)]]).tolist(), strict=True):
-        # the words of a run of aligned windows: their slots must agree, else the run doesn't count
-        offsets = np.unique((place[a:b, None] + np.arange(bench.width)).ravel())
-        ours, theirs = offsets + bench.cut[item[a]], offsets + shift[a]
-        slots = (bench.kind[ours] > 0) & (c.kind[theirs] > 0)
-        x, y = bench.own[ours][slots], c.own[theirs][slots]
-        if consistent(x, y):
-            gaps = np.flatnonzero(np.diff(offsets) > 1) + 1
-            longest = int(np.diff(np.concatenate([[0], gaps, [len(offsets)]])).max())
-            found(int(text[a]), int(item[a]), place[a:b].tolist(), bool((x != y).any()), int(word[a]), int(word[b - 1]) + bench.width - 1, longest)
+        at, begin = place[a:b], word[a:b]
+        offsets, slots, x, y = _slots(c, bench, item[a], shift[a], at)
+        if not consistent(x, y):
+            wrong = offsets[slots][conflicting(x, y)]
+            clear = np.searchsorted(wrong, at, "left") == np.searchsorted(wrong, at + bench.width, "left")
+            at, begin = at[clear], begin[clear]
+            if not len(at):
+                continue
+            offsets, slots, x, y = _slots(c, bench, item[a], shift[a], at)
+        gaps = np.flatnonzero(np.diff(offsets) > 1) + 1
+        longest = int(np.diff(np.concatenate([[0], gaps, [len(offsets)]])).max())
+        found(int(text[a]), int(item[a]), at.tolist(), bool((x != y).any()), int(begin[0]), int(begin[-1]) + bench.width - 1, longest)
 
 
 def _whole(c: Canonical, bench: Benchmark, found: Callable) -> None:
@@ -243,10 +267,11 @@ def _blocks(benchmark: DataFrame, width: int, literal: int, most_chars: int) ->
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, literal: int = 5, share: float = 0.5, most_chars: int = 20_000_000, run: int = 50) -> DataFrame:
     """Pairs of documents (doc_id, text) and benchmark items (item_id, text) where at least `share` of the item's windows of `width` template
-    words stand in the document, with consistent slots, or where windows cover `run` words of it on end: doc_id, item_id, share,
+    words stand in the document, with consistent slots, or where such windows cover `run` words of it on end: doc_id, item_id, share,
     reparameterised, start_byte, end_byte (of the UTF-8 text).
 
-    Windows with fewer than `literal` words besides placeholders don't count. An item without such a window (a short one, or one dense in
+    Windows with fewer than `literal` words besides placeholders don't count, nor do those of an aligned run that cover a conflicting slot:
+    a value's most frequent partner holds, and where two are as frequent, neither does. An item without such a window (a short one, or one dense in
     numbers and names) is one window as a whole: it matches word for word (in any case and punctuation, however short it is), and with
     other slots too if it has `literal` words besides placeholders. Items without a word match nothing. The benchmark is held by
     tasks in blocks of about most_chars, one pass over the documents each, so neither side is ever shuffled and a passage that many

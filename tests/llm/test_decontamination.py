@@ -80,3 +80,15 @@ def test_a_long_passage_of_a_longer_item():
     assert run("before it " + " ".join(words[100:150]) + " after it", item) == [(1, False)]
     assert run(" ".join(words[100:149]), item) == []
     assert run(" ".join(words[100:149] + ["x"] + words[150:170]), item) == []  # not on end
+
+
+def test_one_changed_slot_takes_only_its_windows():
+    long = ITEM + " The rest of the herd stays behind on the hill until the snow has gone and the grass is green again in the valley below the old mill."
+    items = [(1, long)]
+    assert run(long.replace("Maria returns", "Peter returns"), items) == [(1, False)]  # two for one: the windows of both don't count
+    assert run(long.replace("12", "5"), items) == [(1, False)]  # one for two
+    (_, _, share, other, _, _), = m.matches([long.replace("12", "40").replace("Maria returns", "Peter returns").encode()], m.Benchmark(items, 8, 5), 0.5)
+    assert other and 0.5 < share < 1
+    thrice = "Then Maria " + "keeps all of the corn she has in a big dry barn near town while Maria " * 2 + "sleeps at home in her own warm bed"
+    many = m.matches([thrice.replace("while Maria sleeps", "while Peter sleeps").encode()], m.Benchmark([(1, thrice)], 8, 5), 0.5)
+    assert many[0][2] > 0.7  # only the windows of the rarer partner go

@@ -26,9 +26,15 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 OUT = frozenset("nav footer aside form dialog menu search button fieldset head".split())
-OUT_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notification alert popup modal overlay sidebar side rail menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar comment comments reply replies respond disqus discussion share sharing social related recommended recommendations newsletter subscribe subscription signup login register search pagination pager widget complementary contentinfo".split()
+# What is never the page's own text, though it may be prose; and parts of a layout, which prose overrules.
+FIRM_NAMES = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr popup modal footer comment comments reply replies respond disqus newsletter subscribe subscription signup login contentinfo".split()
 )
+WEAK_NAMES = frozenset(
+    "banner notice notification alert overlay sidebar side rail menu nav navbar navigation breadcrumb breadcrumbs masthead topbar toolbar discussion share sharing social related recommended recommendations register search pagination pager widget complementary".split()
+)
+#: Parts of a class that only tell what is beside or inside an element, as in has-sidebar or comments-open.
+TELLS = frozenset("has with no not without free open closed enabled disabled".split())
 PAGE_HEAD = frozenset(["header"])
 STOP = frozenset(
     (
@@ -40,37 +46,66 @@ STOP = frozenset(
 )
 
 GOOD, BAD, UNSURE = 1, 0, -1
+SHUT, FIRM, WEAK, OPEN = 3, 2, 1, 0
+
+
+class Named:
+    """An element whose class, id or role is on a list, or an article in one, with the one around it: firm if either is, prose if it holds some."""
+
+    __slots__ = ("article", "firm", "outer", "prose")
+
+    def __init__(self, outer: Named | None, firm: bool, article: bool = False):
+        self.outer, self.firm, self.article, self.prose = outer, firm or outer is not None and outer.firm, article, False
+
+    def out(self) -> bool:
+        own = self.outer if self.article and self.outer is not None else self
+        return own.firm or not own.prose
+
+    def overruled(self) -> None:
+        x: Named | None = self
+        while x is not None and not x.prose:
+            x.prose, x = True, x.outer
 
 
 class Block:
-    __slots__ = ("core", "label", "links", "out", "parts", "text")
+    __slots__ = ("core", "label", "links", "named", "out", "parts", "text")
 
-    def __init__(self, out: bool, core: bool):
-        self.out, self.core, self.parts, self.links, self.text, self.label = out, core, [], 0, "", UNSURE
+    def __init__(self, out: bool, core: bool, named: Named | None):
+        self.out, self.core, self.named, self.parts, self.links, self.text, self.label = out, core, named, [], 0, "", UNSURE
 
 
-def _shut(name: str, attributes: str, core: bool) -> bool:
-    """Whether an element's own name and attributes put its content out."""
+def _named(value: str) -> int:
+    """Whether a class, id or role has a word on a list."""
+    kind = OPEN
+    for token in value.split():
+        words = set(re.split(r"[^a-z0-9]+", token))
+        if not words & TELLS:
+            kind = max(kind, FIRM if words & FIRM_NAMES else WEAK if words & WEAK_NAMES else OPEN)
+    return kind
+
+
+def _shut(name: str, attributes: str, core: bool) -> int:
+    """Whether an element puts its content out: SHUT by its kind or as it isn't shown, FIRM or WEAK by its class, id or role."""
     if name in OUT or name in PAGE_HEAD and not core:
-        return True
+        return SHUT
     if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return False
+        return OPEN
+    kind = OPEN
     for key, a, b, c in ATTRIBUTE.findall(attributes):
         value, key = (a or b or c).lower(), key.lower()
         if key in ("class", "id", "role"):
-            words = set(re.split(r"[^a-z0-9]+", value))
-            if words & OUT_NAMES or not core and key == "role" and "banner" in words:
-                return name not in ("html", "body", "article", "main")
+            if name not in ("html", "body", "article", "main"):
+                kind = max(kind, FIRM if (found := _named(value)) and key == "role" else found)
         elif key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes)) and name not in ("html", "body")
+            return SHUT
+    return SHUT if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes) and name not in ("html", "body") else kind
 
 
 def blocks(html: str) -> list[Block]:
     """The page's blocks in order, with text."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, out, core
-    now = Block(False, False)
+    stack: list[tuple[str, bool, bool, Named | None]] = []  # name, out, core, named
+    now = Block(False, False, None)
     link = raw = 0
     skip = ""
 
@@ -78,8 +113,16 @@ def blocks(html: str) -> list[Block]:
         nonlocal now
         if now.parts:
             found.append(now)
-        _, out, core = stack[-1] if stack else ("", False, False)
-        now = Block(out, core)
+        _, out, core, named = stack[-1] if stack else ("", False, False, None)
+        now = Block(out, core, named)
+
+    def enter(name: str, kind: int, core: bool) -> None:
+        _, out, inside, named = stack[-1] if stack else ("", False, False, None)
+        if name == "main":
+            named = None
+        elif name == "article" and named is not None and not inside:
+            named = Named(named, False, True)
+        stack.append((name, out or kind == SHUT, core, Named(named, kind == FIRM) if kind in (FIRM, WEAK) else named))
 
     at, end = 0, len(html)
     while at < end:
@@ -122,9 +165,9 @@ def blocks(html: str) -> list[Block]:
                         break
                     if stack[i][0] in BLOCK:
                         break
-            elif m[2] and not m[0].endswith("/>") and name not in ("img", "input", "meta", "link", "wbr", "source", "col", "embed", "area", "base", "param", "track") and _shut(name, m[2], bool(stack) and stack[-1][2]):
+            elif m[2] and not m[0].endswith("/>") and name not in ("img", "input", "meta", "link", "wbr", "source", "col", "embed", "area", "base", "param", "track") and (kind := _shut(name, m[2], bool(stack) and stack[-1][2])):
                 renew()
-                stack.append((name, True, stack[-1][2] if stack else False))
+                enter(name, kind, bool(stack) and stack[-1][2])
                 renew()
             continue
         if closing:
@@ -144,9 +187,8 @@ def blocks(html: str) -> list[Block]:
                 while stack and stack[-1][0] in peers:
                     stack.pop()
             if name != "hr":
-                _, out, core = stack[-1] if stack else ("", False, False)
-                core = core or name in ("article", "main")
-                stack.append((name, out or _shut(name, m[2], core), core))
+                core = bool(stack) and stack[-1][2] or name in ("article", "main")
+                enter(name, _shut(name, m[2], core), core)
         renew()
     renew()
     for b in found:
@@ -155,12 +197,30 @@ def blocks(html: str) -> list[Block]:
 
 
 def classify(page: list[Block], short: int = 70, long: int = 200, few: float = 0.20, many: float = 0.30, linked: float = 0.5) -> None:
-    """Set labels: blocks alone, then undecided ones by their neighbours. Where an article or main element holds text, what stands outside is out."""
-    has_core = any(b.core and not b.out for b in page)
+    """Set labels: blocks alone, then undecided ones by their neighbours. Where an article or main element holds text, what stands outside is out.
+
+    A name puts an element out unless it is a part of a layout and holds a long block dense in stop words. Where the page has no article and no
+    such block besides, an article in an element with a name is the page's.
+    """
+    facts, rescued = [], True
     for b in page:
         words = WORD.findall(b.text.lower())
         density = sum(w in STOP for w in words) / len(words) if words else 0.0
         share = b.links / len(b.text)
+        facts.append((density, share))
+        prose = density >= many and len(b.text) > long and share <= linked
+        if b.out:
+            continue
+        if b.named is None:
+            rescued = rescued and not (b.core or prose)
+        elif prose:
+            b.named.overruled()
+    has_core = False
+    for b in page:
+        own = b.named is None or rescued and b.named.article
+        b.out = b.out or not own and b.named.out()
+        has_core = has_core or own and b.core and not b.out
+    for b, (density, share) in zip(page, facts, strict=True):
         if b.out or has_core and not b.core or share > linked:
             b.label = BAD
         elif len(b.text) < short:

@@ -32,3 +32,24 @@ def test_rows(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     assert sorted((str(r.page_id), r.text) for r in m.extract(df).collect()) == [("1", "Text of it"), ("1", "Text of it"), ("2", ""), ("None", "")]
     assert m.extract(df.limit(0)).count() == 0
+
+
+def test_names_of_a_layout_do_not_put_an_article_out():
+    for wrap in ("layout has-sidebar", "content-with-sidebar", "sidebar-left", "widget", "comments-open", "modal"):
+        for inside in (LONG, "A short note."):
+            assert m.main_text(f'<body><div class="{wrap}"><article><p>{inside}</p></article></div></body>') == inside.strip(), wrap
+    for wrap in ("has-sidebar", "content-with-sidebar", "share", "notice"):
+        assert m.main_text(f'<body><div class="{wrap}"><h1>Head</h1><p>{LONG}</p></div></body>').split("\n\n") == ["Head", LONG.strip()], wrap
+    page = f'<article><p>{LONG}</p><section id="discussion"><h2>Discussion</h2><p>{LONG}</p></section><div class="share"><p>Tell all of them.</p></div></article>'
+    assert m.main_text(page).split("\n\n") == [LONG.strip(), "Discussion", LONG.strip()]
+    assert m.main_text(f'<div class="search"><main><p>Found by it.</p></main></div><article><p>{LONG}</p></article>').split("\n\n") == ["Found by it.", LONG.strip()]
+
+
+def test_what_is_never_the_text_stays_out():
+    for name in ("comments", "comment-list", "cookie-notice", "ads"):
+        assert m.main_text(f'<body><article><p>{LONG}</p></article><div class="{name}"><article><p>Not of the page. {LONG}</p></article></div></body>') == LONG.strip()
+        assert m.main_text(f'<body><div class="{name}"><p>Not of the page. {LONG}</p></div><p>{LONG}</p></body>') == LONG.strip()
+    assert m.main_text(f'<body><div class="sidebar"><p>In short.</p></div><p>{LONG}</p><div class="related-posts"><p>One more.</p></div></body>') == LONG.strip()
+    for name in ("comments", "related-posts"):  # an article there is not the page's where there is other prose
+        assert m.main_text(f'<body><div><h1>Head</h1><p>{LONG}</p></div><div class="{name}"><article><p>Not of the page.</p></article></div></body>').endswith(LONG.strip())
+    assert m.main_text('<body><article><div class="ad">Buy the house that was on the hill.</div></article></body>') == ""

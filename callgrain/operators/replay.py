@@ -28,6 +28,17 @@ def latency_by_bucket(calls: DataFrame) -> DataFrame:
     return x.with_quantiles(per, ["bucket"], "duration_ms", "floor_np", P3, [F.count("*").alias("flows"), F.max("duration_ms").alias("max")])
 
 
+def latency_overall(calls: DataFrame) -> DataFrame:
+    per = t.flows(calls, "duration_ms").where("duration_ms is not null").select(F.lit("overall").alias("bucket"), "duration_ms")
+    return x.with_quantiles(per, ["bucket"], "duration_ms", "floor_np", P3, [F.count("*").alias("flows"), F.max("duration_ms").alias("max")])
+
+
+def body_sizes(calls: DataFrame) -> DataFrame:
+    per = t.flows(calls, "flow_req_bytes", "flow_resp_bytes").selectExpr("stack(2, 'request', flow_req_bytes, 'response', flow_resp_bytes) as (body, bytes)").where("bytes is not null")
+    out = x.with_quantiles(per.withColumn("bytes", F.col("bytes").cast("double")), ["body"], "bytes", "floor_np", {"p50": 0.5, "p95": 0.95}, [F.count("*").alias("flows"), F.max("bytes").alias("max"), F.sum("bytes").alias("total")])
+    return out
+
+
 def slowest_methods(calls: DataFrame, least: int = 10, n: int = 15) -> DataFrame:
     held = calls.where("batch_size = 1 and duration_ms is not null")
     out = x.with_quantiles(held, ["method"], "duration_ms", "floor_np", P3, [F.count("*").alias("n")])

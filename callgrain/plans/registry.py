@@ -167,6 +167,8 @@ add("a43_replay_counters", rp.counters, "select count(*) as calls, count(error_c
 add("a43_replay_batch_sizes", rp.batch_sizes, "select batch_size, count(*) as flows from fl group by batch_size")
 add("a43_replay_method_counts", rp.method_counts, "select method, count(*) as calls from calls group by method order by calls desc, method limit 20")
 add("a44_replay_latency", rp.latency_by_bucket, f"select {REPLAY} as bucket, count(*) as flows, round(max(duration_ms), 6) as max, {qs('duration_ms', 'floor_np')} from fl where duration_ms is not null group by 1")
+add("a44_replay_latency_overall", rp.latency_overall, f"select 'overall' as bucket, count(*) as flows, round(max(duration_ms), 6) as max, {qs('duration_ms', 'floor_np')} from fl where duration_ms is not null having count(*) > 0")
+add("a44_replay_body_sizes", rp.body_sizes, f", b as (select 'request' as body, flow_req_bytes::double as bytes from fl union all select 'response', flow_resp_bytes::double from fl) select body, count(*) as flows, max(bytes) as max, sum(bytes) as total, {qs('bytes', 'floor_np', 'p50 p95')} from b where bytes is not null group by body")
 add("a45_replay_slowest_methods", rp.slowest_methods, f"select method, count(*) as n, {qs('duration_ms', 'floor_np')} from calls where batch_size = 1 and duration_ms is not null group by method having count(*) >= 10 order by p95 desc, method limit 15")
 add("a46_replay_errors", rp.errors_by_method, ", c as (select method, error_code, count(*) as c from calls group by all) select method, sum(c)::bigint as calls, coalesce(sum(c) filter (error_code is not null), 0)::bigint as errors, string_agg(error_code || ':' || c, ',' order by c desc, error_code) filter (error_code is not null) as codes, round(sum(c) filter (error_code is not null) / sum(c) * 100, 6) as err_pct from c group by method having errors > 0 order by errors desc, method limit 20")
 add("a47_replay_error_samples", rp.error_samples, ", p as (select method, error_code, count(*) as c from calls where error_code is not null group by all order by c desc, method, error_code limit 8), z as (select q.method, q.error_code, c, row_number() over (partition by q.method, q.error_code order by flow_id, position) as k, flow_id, position, error_message, params_json from calls q join p on q.method = p.method and q.error_code = p.error_code) select method, error_code, c as count, k::int as k, flow_id, position, error_message, params_json from z where k <= 3")

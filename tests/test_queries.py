@@ -64,6 +64,15 @@ def test_empty_and_null_calls(spark):
     assert (r.no_response, r.success, r.errors, r.no_answer) == (1, 1, 1, 0)
 
 
+def test_replay_latency_and_body_sizes_overall(spark):
+    rows = [{"flow_id": i, "duration_ms": float(i) if i < 4 else None, "flow_req_bytes": 10 * i, "flow_resp_bytes": i if i % 2 else None} for i in range(5)]
+    (r,) = rp.latency_overall(calls(spark, rows)).collect()
+    assert (r.bucket, r.flows, r.max, r.p50, r.p95, r.p99) == ("overall", 4, 3.0, 2.0, 3.0, 3.0)
+    got = {r.body: (r.flows, r.max, r.total, r.p50, r.p95) for r in rp.body_sizes(calls(spark, rows)).collect()}
+    assert got == {"request": (5, 40.0, 100.0, 20.0, 40.0), "response": (2, 3.0, 4.0, 3.0, 3.0)}
+    assert rp.latency_overall(calls(spark, [])).count() == rp.body_sizes(calls(spark, [])).count() == 0
+
+
 def test_identity(spark):
     def label(method, result, **more):
         return t.node_identity(calls(spark, [{"flow_id": 1, "method": method, "result_json": result, "ts_start": 1716700000.0}]), **more).first()

@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import gc
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +24,12 @@ _made: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a temporary one where it is unset, as in tests."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset, a folder in the temporary one of the
+    machine is set if the master is local, as in tests; on a cluster that would lose rows, so there it is an error."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="callgrain-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -60,12 +68,91 @@ def unstage(*frames: DataFrame) -> None:
         delete(df.sparkSession, df.staged_path)  # type: ignore[attr-defined]
 
 
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes what staged() writes in the block when it ends, but for the frames given to the function it yields."""
+    before, kept = set(_made), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df.staged_path)  # type: ignore[attr-defined]
+        return df
+
+    yield keep
+    for path in set(_made) - before - kept:
+        delete(_made[path], path)
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of steps that nothing refers to any more; it does so when the driver collects its garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
+def release() -> None:
+    """Give memory that is free in this process back to the system: workers live on between stages and count as in use."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library than glibc
+        pass
+
+
+def resting(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, which releases the worker's free memory once it is through."""
+
+    @functools.wraps(run)
+    def rested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return rested
+
+
+#: Of a structure of fixed size that each task makes: a slice's number, the group of tasks it is folded with first, the compressed array.
+SLICE = "slice int, part int, body binary"
+GROUPS = 256
+
+
+def slices_of(x: np.ndarray, slices: int, task: int, dtype: str) -> pa.RecordBatch:
+    bodies = [zlib.compress(part.astype(dtype).tobytes(), 1) for part in np.split(x, slices)]
+    return pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([task % GROUPS] * slices, pa.int32()), pa.array(bodies, pa.binary())], names=["slice", "part", "body"])
+
+
+def _folding(dtype: str, fold: Callable[[np.ndarray, np.ndarray], np.ndarray], last: bool, finish: Callable[[np.ndarray], np.ndarray] | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, None
+
+        def row() -> pa.RecordBatch:
+            x = finish(held) if finish else held
+            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())], names=["slice", "part", "body"])
+
+        for batch in batches:
+            for k, part, body in zip(batch["slice"].to_pylist(), batch["part"].to_pylist(), batch["body"], strict=True):
+                x = np.frombuffer(zlib.decompress(body.as_buffer()), dtype)
+                now = (k, 0 if last else part)
+                if now == key:
+                    held = fold(held, x)
+                else:
+                    if key is not None:
+                        yield row()
+                    key, held = now, x
+        if key is not None:
+            yield row()
+
+    return resting(run)
+
+
+def folded_slices(parts: DataFrame, dtype: str, fold: Callable[[np.ndarray, np.ndarray], np.ndarray], finish: Callable[[np.ndarray], np.ndarray] | None = None) -> dict[int, bytes]:
+    """All tasks' slices folded into one, by number, after finish. In two levels: no task reads more than GROUPS slices or those of a
+    GROUPS-th of the tasks, and each holds two at a time."""
+    for last in (False, True):
+        keys = ["slice"] if last else ["slice", "part"]
+        parts = parts.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_folding(dtype, fold, last, finish if last else None), schema(SLICE))
+    return {r["slice"]: zlib.decompress(bytes(r["body"])) for r in parts.collect()}
+
+
 def schema(ddl: str) -> T.StructType:
     return T._parse_datatype_string(ddl)  # type: ignore[return-value]
 

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .base import MARKS, folded, joined, mixed, powers, schema, text_chunks, word_hashes
+from .base import MARKS, folded, joined, mixed, powers, resting, schema, text_chunks, word_hashes
 
 #: Units of measure that stand after a number.
 UNITS = "mm cm m km in ft yd mi mg g kg t lb lbs oz ml l s sec second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years percent usd eur gbp dollar dollars euro euros cent cents km/h mph kmh meter meters metre metres kilometer kilometers kilogram kilograms gram grams liter liters litre litres mile miles foot feet inch inches pound pounds hz khz mhz ghz kb mb gb tb w kw mw v a".split()
@@ -233,6 +233,7 @@ def matches(texts: list[bytes], bench: Benchmark, share: float, run: int = 50) -
 
 
 def _matched(bench: Benchmark, share: float, least: int):
+    @resting
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_chunks(batches):
             if found := matches(texts, bench, share, least):
@@ -247,6 +248,7 @@ def _matched(bench: Benchmark, share: float, least: int):
 
 
 def _kept(bench: Benchmark, share: float, least: int):
+    @resting
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_chunks(batches):
             out = {t for t, *_ in matches(texts, bench, share, least)}

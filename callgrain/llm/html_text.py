@@ -14,7 +14,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .base import schema, text_chunks
+from .base import resting, schema, text_chunks
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|</?([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|[^<]+|<""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z][-\w]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -257,6 +257,7 @@ def main_text(html: str | None) -> str:
     return "\n\n".join(b.text for b in page if b.label == GOOD)
 
 
+@resting
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, pages in text_chunks(batches, "html"):
         texts = [main_text(x.decode("utf-8", "replace")) for x in pages]

@@ -16,7 +16,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .base import WINDOW, schema, staged, text_chunks
+from .base import WINDOW, resting, schema, staged, text_chunks
 
 #: A word longer than this is scored in parts of this length.
 LONGEST, REMEMBERED = 24, 300_000
@@ -132,6 +132,7 @@ def expected(words: list[str], weights: np.ndarray, prob: np.ndarray, path: str)
     return out
 
 
+@resting
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, texts in text_chunks(batches):
         for lang, text in zip(part["lang"].to_pylist(), texts, strict=True):
@@ -140,6 +141,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _expectation(probs: dict[str, np.ndarray], path: str):
+    @resting
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -193,6 +195,7 @@ def fit(labelled: DataFrame, path: str, per_language: int = 2000, sample_chars:
 
 
 def _predicted(model: Model):
+    @resting
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         table = np.zeros((0, len(model.langs)), np.float32)

@@ -20,9 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .base import WINDOW, mixed, schema, signed, staged, text_chunks, unstage
+from .base import SLICE, WINDOW, folded_slices, mixed, resting, schema, signed, slices_of, staged, text_chunks, unstage
 
 BASE = np.uint64(0x9E3779B97F4A7C1F)
 UNDO = np.uint64(pow(0x9E3779B97F4A7C1F, -1, 1 << 64))
@@ -99,6 +100,7 @@ def _identity(h: Hashed) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _hashed(least: int):
+    @resting
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, rk, no, lines in _lines(batches, least):
             h = Hashed(lines)
@@ -114,33 +116,23 @@ def _places(keys: np.ndarray) -> np.ndarray:
     return np.concatenate([x % np.uint64(FILTER_BITS), (x >> np.uint64(32)) % np.uint64(FILTER_BITS)]).astype(np.int64)
 
 
+@resting
 def _filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bits = np.zeros(FILTER_BITS, bool)
     for batch in batches:
         bits[_places(batch["key"].to_numpy())] = True
     if bits.any():
-        yield pa.RecordBatch.from_pydict({"slice": pa.array(range(SLICES), pa.int32()), "bits": pa.array([zlib.compress(np.packbits(x).tobytes(), 1) for x in np.split(bits, SLICES)], pa.binary())})
-
-
-def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for k, v in zip(batch["slice"].to_pylist(), batch["bits"].to_pylist(), strict=True):
-            x = np.frombuffer(zlib.decompress(v), np.uint8)
-            found[k] = found[k] | x if k in found else x
-    yield pa.RecordBatch.from_pydict({"slice": pa.array(list(found), pa.int32()), "bits": pa.array([zlib.compress(x.tobytes(), 1) for x in found.values()], pa.binary())})
+        yield slices_of(np.packbits(bits), SLICES, TaskContext.get().partitionId(), "uint8")
 
 
 def bloom(keys: DataFrame) -> bytes:
     """A Bloom filter of 4 MB, whatever the number of keys."""
-    kind = schema("slice int, bits binary")
-    out = np.zeros((SLICES, FILTER_BITS // SLICES // 8), np.uint8)
-    for r in keys.mapInArrow(_filtered, kind).repartition(SLICES, "slice").mapInArrow(_united, kind).collect():
-        out[r["slice"]] = np.frombuffer(zlib.decompress(bytes(r["bits"])), np.uint8)
-    return zlib.compress(out.tobytes(), 1)
+    found = folded_slices(keys.mapInArrow(_filtered, schema(SLICE)), "uint8", np.bitwise_or)
+    return zlib.compress(b"".join(found[k] for k in range(SLICES)) if found else bytes(FILTER_BITS // 8), 1)
 
 
 def _candidates(least: int, packed: bytes):
+    @resting
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(np.frombuffer(zlib.decompress(packed), np.uint8)).view(bool)
         for doc, rk, no, lines in _lines(batches, least):
@@ -155,6 +147,7 @@ def _candidates(least: int, packed: bytes):
     return run
 
 
+@resting
 def _part_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first in range(0, len(batch), 4000):
@@ -169,6 +162,7 @@ def _part_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+@resting
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (h1, h2, pos, line, spots) to (key, role, h1, h2, pos): role 0 substitutions, 1 the longer line of an insertion, 2 the shorter."""
     for batch in batches:
@@ -210,12 +204,14 @@ def one_edit(x: str, y: str) -> bool:
     return x[lo + 1 :] == y[lo + (len(x) == len(y)) :]
 
 
+@resting
 def _edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = [i for i, (x, y) in enumerate(zip(batch["line"].to_pylist(), batch["other"].to_pylist(), strict=True)) if one_edit(x, y)]
         yield batch.select(["h1", "h2"]).take(pa.array(keep, pa.int64()))
 
 
+@resting
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, n, gone = [], [], []

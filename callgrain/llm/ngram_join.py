@@ -17,14 +17,14 @@ reach the threshold share a shingle among the first ``size - ceil(threshold * si
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .base import WINDOW, free_shuffles, joined, mixed, schema, signed, staged, text_chunks, unstage, word_hashes
+from .base import SLICE, folded_slices, free_shuffles, joined, mixed, resting, schema, scratch, signed, slices_of, staged, text_chunks, unstage, word_hashes
 from .components import components
 
 SKETCH, SLICES, LIST, BLOCK = 1 << 24, 64, 64, 8192
@@ -57,37 +57,30 @@ def shingles(texts: list[bytes], width: int) -> Iterator[tuple[np.ndarray, np.nd
 
 
 def _sketches(width: int):
+    @resting
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH, np.uint32)
-        for _, texts in text_chunks(batches, size=4 * WINDOW):
+        for _, texts in text_chunks(batches):
             parts = [h for h, _ in shingles(texts, width)]
-            counts += np.bincount((np.concatenate(parts) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
+            at, times = np.unique(np.concatenate(parts) & np.uint64(SKETCH - 1), return_counts=True)
+            counts[at.astype(np.int64)] += times.astype(np.uint32)
         if counts.any():
-            cut = np.split(counts, SLICES)
-            yield pa.RecordBatch.from_pydict({"slice": pa.array(range(SLICES), pa.int32()), "counts": pa.array([zlib.compress(x.tobytes(), 1) for x in cut], pa.binary())})
+            yield slices_of(counts, SLICES, TaskContext.get().partitionId(), "uint64")
 
     return run
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for k, v in zip(batch["slice"].to_pylist(), batch["counts"].to_pylist(), strict=True):
-            x = np.frombuffer(zlib.decompress(v), np.uint32).astype(np.uint64)
-            sums[k] = sums[k] + x if k in sums else x
-    yield pa.RecordBatch.from_pydict({"slice": pa.array(list(sums), pa.int32()), "counts": pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())})
+def _levels(counts: np.ndarray) -> np.ndarray:
+    usual = counts.mean()
+    level = np.where(counts > usual + 4 * np.sqrt(usual + 1), np.log2(counts + 1.0) * 6, 0)
+    return np.clip(level, 0, 255).astype(np.uint8)
 
 
 def frequency_levels(docs: DataFrame, width: int) -> np.ndarray:
-    """One byte for each of the sketch's counters: 0 for what chance explains, else the logarithm of the count. 16 MB at every input size."""
-    kind = schema("slice int, counts binary")
-    rows = docs.mapInArrow(_sketches(width), kind).repartition(SLICES, "slice").mapInArrow(_summed, kind).collect()
-    counts = np.zeros((SLICES, SKETCH // SLICES), np.float32)
-    for r in rows:
-        counts[r["slice"]] = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.uint64)
-    usual = counts.mean(axis=1, keepdims=True)
-    level = np.where(counts > usual + 4 * np.sqrt(usual + 1), np.log2(counts + 1) * 6, 0)
-    return np.clip(level, 0, 255).astype(np.uint8).ravel()
+    """One byte for each of the sketch's counters: 0 for what chance explains, else the logarithm of the count. 16 MB at every input size;
+    the driver gets these bytes, not the counts."""
+    found = folded_slices(docs.select("text").mapInArrow(_sketches(width), schema(SLICE)), "uint64", np.add, _levels)
+    return np.concatenate([np.frombuffer(found[k], np.uint8) for k in range(SLICES)]) if found else np.zeros(SKETCH, np.uint8)
 
 
 BITS = [f"b{i}" for i in range(8)]
@@ -101,6 +94,7 @@ def _sum(x: np.ndarray, salt: int) -> int:
 def _described(width: int, percent: int, levels: np.ndarray):
     """doc_id, set size, a 128-bit signature of the set, the prefix in the global order and its signature, and 512 parity bits of the set."""
 
+    @resting
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_chunks(batches):
             n, one, two, p1, p2, prefix = [], [], [], [], [], []
@@ -126,6 +120,7 @@ def _described(width: int, percent: int, levels: np.ndarray):
     return run
 
 
+@resting
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first in range(0, len(batch), 2000):
@@ -165,6 +160,7 @@ def _pairs(percent: int):
                     other = docs[i + 1 : last][meet]
                     out.append((np.repeat(docs[i], len(other)), other, None, None))
 
+    @resting
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
         held: tuple = none
@@ -251,6 +247,7 @@ def _stars(percent: int):
     """Lists sorted by key, place, doc to pairs with a null key. A list of more than LIST members gives only those of its pivot, the first
     member, and all members with the key and the pivot. No more than LIST members are held."""
 
+    @resting
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, long, held = None, False, None
 
@@ -287,6 +284,7 @@ def _stars(percent: int):
 def _blocks(percent: int):
     """Lists of at most two blocks of members, told by side, to the pairs across sides, or all if there is but one; all are held."""
 
+    @resting
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, None
 
@@ -320,6 +318,7 @@ def _blocks(percent: int):
 
 
 def _sets(width: int):
+    @resting
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_chunks(batches):
             yield pa.RecordBatch.from_pydict({"doc": part["doc_id"].cast(pa.int64()), "items": pa.array([h.tobytes() for h, _ in shingles(texts, width)], pa.binary())})
@@ -327,6 +326,7 @@ def _sets(width: int):
     return run
 
 
+@resting
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         both, union = [], []
@@ -354,7 +354,11 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     document and thereby linked. Rows with a null doc_id keep their size, have a null component and take no part. An empty table gives no
     rows; other columns are ignored, whatever their names. Very long texts are hashed in windows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    with scratch() as keep:
+        return keep(staged(_joined_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width, percent)))
+
+
+def _joined_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
     levels = frequency_levels(docs, width)
     kind = "doc_id long, n long, one long, two long, p1 long, p2 long, prefix binary, " + ", ".join(f"{b} long" for b in BITS)
     all_docs = staged(docs.mapInArrow(_described(width, percent, levels), schema(kind)))
@@ -480,5 +484,4 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     labels = classes.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("one", "two", "n", F.coalesce("component", "doc").alias("component"))
     out = all_docs.select("doc_id", "n", "one", "two").join(labels, ["one", "two", "n"], "left")
     component = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.least("component", "doc_id"))
-    unstage(pairs, sets, member_of)
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))

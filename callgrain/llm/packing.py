@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .base import schema, text_chunks
+from .base import resting, schema, text_chunks
 from .pretokens import WordEnds, encoder
 
 #: Documents whose rests are differenced together.
@@ -78,6 +78,7 @@ PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, sequ
 
 
 def _packed(path: str, capacity: int, end_id: int):
+    @resting
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(WordEnds, path)
         docs: dict[int, tuple[int | None, bytes]] = {}

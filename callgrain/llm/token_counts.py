@@ -7,11 +7,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .base import schema, text_chunks
+from .base import resting, schema, text_chunks
 from .pretokens import ByteLevel, encoder
 
 
 def _counted(path: str):
+    @resting
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = encoder(ByteLevel, path)
         for part, texts in text_chunks(batches):

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .base import schema, staged
+from .base import resting, schema, staged
 
 BINS, QUERIES, SLICE = 256, 8192, 512
 
@@ -79,6 +79,7 @@ def _parts(batches: Iterator[pa.RecordBatch], block: Block) -> Iterator[tuple[in
 
 
 def _histograms(block: Block):
+    @resting
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a bin below and one above the range close it
         sums = np.zeros((len(block.ids), BINS + 1), np.int64)
@@ -96,6 +97,7 @@ def _histograms(block: Block):
     return run
 
 
+@resting
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
@@ -109,6 +111,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _reaching(block: Block, k: int):
     """For each query the rows above its k-th value, and of those that equal it the k smallest ids of the partition."""
 
+    @resting
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(block.ids)
         for at, ids, s in _parts(batches, block):

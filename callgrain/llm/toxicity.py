@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .base import MARKS, WINDOW, folded, joined, mixed, powers, schema, signed, staged, text_chunks, word_hashes
+from .base import MARKS, WINDOW, folded, joined, mixed, powers, resting, schema, signed, staged, text_chunks, word_hashes
 from .base import _MIX
 
 # Insulting words of several languages.
@@ -113,6 +113,7 @@ def vectors(texts: list[bytes], lexicon: Lexicon) -> np.ndarray:
     return out
 
 
+@resting
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(feature, toxic, documents) for slices of labelled rows."""
     for part, texts in text_chunks(batches):
@@ -204,6 +205,7 @@ def train_linear(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
 
 
 def _voted(lexicon: Lexicon):
+    @resting
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_chunks(batches):
             v, x = votes(texts, lexicon), vectors(texts, lexicon)
@@ -244,6 +246,7 @@ def fit(labelled: DataFrame, docs: DataFrame, sample: int = 20_000) -> Model:
 
 
 def _scored(model: Model):
+    @resting
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = np.zeros(len(model.lexicon.hashes) + model.lexicon.voters + 2)
         w[: len(model.weights)] = model.weights

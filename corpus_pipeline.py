@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from callgrain.llm.base import staged
+from callgrain.llm.base import scratch, staged, unstage
 from callgrain.llm.decontamination import decontaminate
 from callgrain.llm.language_id import fit, predict
 from callgrain.llm.line_dedup import line_dedup
@@ -38,8 +38,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keep of each group of near duplicates (five-word shingles, similarity 0.8 or more) the document with the smallest id. Documents
     without words and rows with a null id are in no group and stay."""
     joined = ngram_join(docs, width=5, percent=80)
-    late = joined.where("n_shingles > 0 and component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(staged(late).hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    late = staged(joined.where("n_shingles > 0 and component_id <> doc_id").select("doc_id").distinct())
+    unstage(joined)
+    return docs.join(late.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,10 +64,14 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written as Parquet to the shared folder and read again."""
+    """All stages over documents; each result is written as Parquet to the shared folder and read again, and goes once the next is there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES):
+        with scratch() as keep:
+            done = keep(staged(stage(spark, docs, sf_dir)))
+        if k:
+            unstage(docs)
+        docs = done
     return docs
 
 

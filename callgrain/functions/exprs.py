@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Bucket names with their upper bounds, and method prefixes by namespace.
@@ -70,10 +72,48 @@ def verdict_vs_load(change: Column, load: Column, flat: float = 3.0) -> Column:
     return F.when(change <= flat, "better").when((load > 0) & (change <= 0.5 * load), "better").when((load > 0) & (change <= load), "close").otherwise("worse")
 
 
+def _fixed(v: Column, digits: int) -> Column:
+    """With so many digits, rounded by the value that the double has, exact halves to even: format_string rounds its shortest decimal up.
+    Where v times ten to the digits ends in a half, the product's error (by splitting v in two) tells on which side v is."""
+    ten = F.lit(float(10**digits))
+    p = v * ten
+    low, c = F.floor(p).cast("double"), v * 134217729.0
+    high = c - (c - v)
+    error = (high * ten - p) + (v - high) * ten
+    up = (p - low > 0.5) | ((p - low == 0.5) & ((error > 0) | ((error == 0) & (F.pmod(low, F.lit(2.0)) == 1))))
+    return F.format_string(f"%.{digits}f", (low + F.when(up, 1.0).otherwise(0.0)) / ten)
+
+
+def _thousands(v: Column, least_short: float | None) -> Column:
+    """k and M; of a number from least_short units on no digit is shown."""
+    def unit(name: str, size: float) -> Column:
+        x = v / size
+        long = F.concat(_fixed(x, 1), F.lit(name))
+        return long if least_short is None else F.when(x < least_short, long).otherwise(F.concat(_fixed(x, 0), F.lit(name)))
+
+    return F.when(F.abs(v) >= 1e6, unit("M", 1e6)).when(F.abs(v) >= 1e3, unit("k", 1e3)).otherwise(_fixed(v, 0))
+
+
 def human(value: Column) -> Column:
-    """1234 as 1.2k, in thousands, millions, billions."""
+    """1234 as 1.2k, 123400 as 123k, 1.2M."""
+    return _thousands(value.cast("double"), 100.0)
+
+
+def human_calls(value: Column) -> Column:
+    """The same for counts of calls, with one digit throughout: 95438 as 95.4k."""
+    return _thousands(value.cast("double"), None)
+
+
+def ms_label(value: Column) -> Column:
     v = value.cast("double")
-    return F.when(v >= 1e9, F.format_string("%.1fB", v / 1e9)).when(v >= 1e6, F.format_string("%.1fM", v / 1e6)).when(v >= 1e3, F.format_string("%.1fk", v / 1e3)).otherwise(F.format_string("%.0f", v))
+    return F.when(v < 10, F.concat(_fixed(v, 1), F.lit(" ms"))).otherwise(F.concat(_fixed(v, 0), F.lit(" ms")))
+
+
+def delta_label(before: Column, after: Column, tie: Column) -> Column:
+    """The gap in units of time, never in percent."""
+    gap = F.abs(after - before)
+    text = F.when(gap >= 1000, F.concat(_fixed(gap / 1000, 2), F.lit(" s"))).otherwise(F.concat(_fixed(gap, 2), F.lit(" ms")))
+    return F.when(tie, F.concat(F.lit("≈ equivalent ("), text, F.lit(")"))).otherwise(F.concat(text, F.when(after < before, " faster").otherwise(" slower")))
 
 
 def bytes_label(value: Column) -> Column:
@@ -81,6 +121,15 @@ def bytes_label(value: Column) -> Column:
     return F.when(v >= 1e9, F.concat(F.format_string("%.2f", v / 1e9), F.lit(" GB"))).otherwise(F.concat(F.format_string("%.0f", v / 1e6), F.lit(" MB")))
 
 
+def binary_label(value: Column) -> Column:
+    """Bytes in units of 1024 with one digit: 1.5KB."""
+    v = value.cast("double")
+    out = None
+    for k, name in enumerate(("B", "KB", "MB", "GB")):
+        out = (F if out is None else out).when(v < 1024.0 ** (k + 1), F.concat(_fixed(v / 1024.0**k, 1), F.lit(name)))
+    return out.otherwise(F.concat(_fixed(v / 1024.0**4, 1), F.lit("TB")))
+
+
 def clipped(text: Column, cap: int) -> Column:
     """The first cap characters; 0 for all."""
     return F.substring(text, 1, cap) if cap else text
@@ -107,43 +156,80 @@ def _index(rule: str, n: Column, q: float) -> Column:
     raise ValueError(rule)
 
 
-def linear(value: Column | str, q: float) -> Column:
-    return F.percentile(value, F.lit(q))
+#: Cells of a group's values: so many for each factor of e, so that a long tail doesn't put the rest into one cell.
+FINE, MIDDLE = 1024, 1_000_000
 
 
-CELLS = 2048
+def _cell(v: Column) -> Column:
+    """A number that never falls as v grows; NaN is last."""
+    size = F.floor(F.least(F.log(F.abs(v)) * FINE, F.lit(900_000.0))) + MIDDLE
+    return F.when(F.isnan(v), 2 * MIDDLE).when(v > 0, size).when(v < 0, -size).otherwise(0).cast("int")
 
 
-def order_statistics(df: DataFrame, keys: list[str], value: str, rule: str, quantiles: dict[str, float]) -> DataFrame:
-    """One row for each key with the named quantiles by an index rule; nulls of value don't count. Keys must not be null.
+def first_reaching(counted: DataFrame, keys: list[str], weight: str, needs: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """For each key and name the least v at which the cumulated weight reaches needs[name](total weight): counted is (keys, v, weight), with
+    each v once for a key. Keys must not be null.
 
-    Values are counted first, so partial aggregation comes before the shuffle and equal values cost one row. A group's values never meet in
-    one task: they are counted in cells of equal width between its least and greatest value, and only the cell that holds an index is
-    ranked. Groups without values are absent.
+    A group's values never meet in one task: weights are summed by cell, the running sums over cells tell which cell a need falls into, and
+    only the values of such cells are cumulated.
+    """
+    celled = counted.where(F.col("v").isNotNull()).withColumn("cell", _cell(F.col("v")))
+    cells = celled.groupBy(*keys, "cell").agg(F.sum(weight).alias("w"))
+    upto = F.sum("w").over(Window.partitionBy(*keys).orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))
+    run = cells.select(*keys, "cell", "w", upto.alias("upto"), F.sum("w").over(Window.partitionBy(*keys)).alias("total"))
+    wanted = F.array(*(F.struct(F.lit(name).alias("name"), need(F.col("total")).cast("double").alias("need")) for name, need in needs.items()))
+    before = F.col("upto") - F.col("w")
+    # the last cell takes what rounding leaves above the total
+    hit = F.filter(wanted, lambda x: (x["need"] <= F.col("upto")) & ((x["need"] > before) | (before <= 0)))
+    hits = run.select(*keys, "cell", before.alias("before"), hit.alias("wanted")).where(F.size("wanted") > 0)
+    inside = Window.partitionBy(*keys, "cell").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    held = celled.join(hits, [*keys, "cell"]).withColumn("cum", F.col("before") + F.sum(weight).over(inside))
+
+    def reached(name: str) -> Column:
+        ours = F.exists("wanted", lambda x: x["name"] == name)
+        far = F.exists("wanted", lambda x: (x["name"] == name) & (F.col("cum") >= x["need"]))
+        return F.coalesce(F.min(F.when(far, F.col("v"))), F.max(F.when(ours, F.col("v")))).alias(name)
+
+    return held.groupBy(*keys).agg(*map(reached, needs))
+
+
+def _needs(rule: str, quantiles: dict[str, float]) -> dict[str, Callable[[Column], Column]]:
+    if rule != "linear":
+        return {name: (lambda n, q=q: _index(rule, n, q) + 1) for name, q in quantiles.items()}
+    place = lambda n, q: (n - 1) * F.lit(q)
+    low = {f"{name}_lo": (lambda n, q=q: F.floor(place(n, q)) + 1) for name, q in quantiles.items()}
+    return low | {f"{name}_hi": (lambda n, q=q: F.ceil(place(n, q)) + 1) for name, q in quantiles.items()}
+
+
+#: Aggregates of the value that its counts tell.
+TOLD = {
+    "rows": lambda: F.sum("c"),
+    "mean": lambda: F.try_divide(F.sum(F.col("v") * F.col("c")), F.sum(F.when(F.col("v").isNotNull(), F.col("c")))),
+    "min": lambda: F.min("v"),
+    "max": lambda: F.max("v"),
+    "sum": lambda: F.sum(F.col("v") * F.col("c")),
+}
+
+
+def with_quantiles(df: DataFrame, keys: list[str], value: str | Column, rule: str, quantiles: dict[str, float], told: dict[str, str], times: str | None = None) -> DataFrame:
+    """One row a key: told (name to rows, mean, min, max or sum of value) and the quantiles of value by the rule; nulls of value count among
+    rows only. Keys must not be null. Without keys there is one row, also for an empty df. times: a row stands for so many.
+
+    df is read once: values are counted by key first (a partial aggregate, one shuffle), and all else follows from the counts.
     """
-    held = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
-    counted = held.groupBy(*keys, "v").agg(F.count("*").alias("c"))
-    span = held.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
-    spread = counted.join(span, keys) if keys else counted.join(F.broadcast(span), F.lit(True), "left")  # a single row
-    celled = spread.withColumn("cell", F.when(F.col("hi") > F.col("lo"), F.least(F.lit(CELLS - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * CELLS))).otherwise(F.lit(0)).cast("int"))
-    cells = celled.groupBy(*keys, "cell").agg(F.sum("c").alias("c"), F.first("n").alias("n"))
-    running = Window.partitionBy(*keys).orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
-    upto = cells.withColumn("upto", F.sum("c").over(running))
-    wanted = F.array(*(F.struct(F.lit(name).alias("name"), _index(rule, F.col("n"), q).alias("at")) for name, q in quantiles.items()))
-    hit = upto.select(*keys, "cell", (F.col("upto") - F.col("c")).alias("before"), F.explode(F.filter(wanted, lambda w: (w["at"] >= F.col("upto") - F.col("c")) & (w["at"] < F.col("upto")))).alias("w")).select(*keys, "cell", "before", "w.*")
-    ranked = celled.join(hit, [*keys, "cell"])
-    inside = Window.partitionBy(*keys, "name").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = ranked.withColumn("upto", F.sum("c").over(inside) + F.col("before")).where(F.col("at") < F.col("upto"))
-    names = [F.min(F.when(F.col("name") == n, F.col("v"))).alias(n) for n in quantiles]
-    return ranked.groupBy(*keys).agg(*names)
-
-
-def with_quantiles(df: DataFrame, keys: list[str], value: str, rule: str, quantiles: dict[str, float], aggregates: list[Column]) -> DataFrame:
-    """aggregates by keys, with quantiles of value by the rule; null where a group has no values."""
-    plain = df.groupBy(*keys).agg(*aggregates)
+    ours = keys or ["_all"]
+    v = F.col(value) if isinstance(value, str) else value
+    counted = df.select(*(F.col(k) for k in keys), *([] if keys else [F.lit(1).alias("_all")]), v.cast("double").alias("v"), (F.col(times) if times else F.lit(1)).cast("long").alias("c")).groupBy(*ours, "v").agg(F.sum("c").alias("c"))
+    ranks = first_reaching(counted, ours, "c", _needs(rule, quantiles))
     if rule == "linear":
-        return df.groupBy(*keys).agg(*aggregates, *(linear(value, q).alias(n) for n, q in quantiles.items()))
-    ranks = order_statistics(df, keys, value, rule, quantiles)
-    if not keys:
-        return plain.join(F.broadcast(ranks), F.lit(True), "left")  # both sides are one row
-    return plain.join(ranks, keys, "left")
+        n = counted.where("v is not null").groupBy(*ours).agg(F.sum("c").alias("_n"))
+        at = {name: (F.col("_n") - 1) * F.lit(q) for name, q in quantiles.items()}
+        lo, hi = (lambda m: F.col(f"{m}_lo")), (lambda m: F.col(f"{m}_hi"))
+        ranks = ranks.join(n, ours).select(*ours, *((lo(m) + (hi(m) - lo(m)) * (p - F.floor(p))).alias(m) for m, p in at.items()))
+    plain = counted.groupBy(*ours).agg(*(TOLD[how]().alias(name) for name, how in told.items()), F.lit(1).alias("_one"))
+    if keys:
+        return plain.join(ranks, keys, "left").drop("_one")
+    # one row a side; an empty df has none, and gets nulls and 0 rows
+    zero = df.sparkSession.range(1).select(F.lit(1).alias("_all"))
+    out = zero.join(plain, "_all", "left").join(ranks, "_all", "left")
+    return out.select(*((F.coalesce(F.col(name), F.lit(0)) if how == "rows" else F.col(name)).alias(name) for name, how in told.items()), *quantiles)

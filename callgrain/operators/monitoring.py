@@ -49,12 +49,14 @@ def cpu_steps(points: DataFrame) -> DataFrame:
 
 def mem_stats(points: DataFrame) -> DataFrame:
     whole = series(points, "memory_total", "v").groupBy("window").agg((F.avg("v") / GIB).alias("total"))
-    u = x.with_quantiles(mem_series(points), ["window"], "gib", "half_even", {"used_p95": 0.95}, [F.min("gib").alias("used_min"), F.avg("gib").alias("used_mean"), F.max("gib").alias("used_max"), F.count("*").alias("n")])
+    u = x.with_quantiles(mem_series(points), ["window"], "gib", "half_even", {"used_p95": 0.95}, {"used_min": "min", "used_mean": "mean", "used_max": "max", "n": "rows"})
     return u.join(whole, "window").withColumn("pct_mean", 100 * F.col("used_mean") / F.col("total")).withColumn("pct_max", 100 * F.col("used_max") / F.col("total"))
 
 
 def cpu_stats(points: DataFrame) -> DataFrame:
-    return x.with_quantiles(cpu_steps(points), ["window"], "util", "half_even", {"util_p95": 0.95}, [F.avg("util").alias("util_mean"), F.max("util").alias("util_max"), F.bround(F.avg("cores")).cast("long").alias("cores"), F.count("*").alias("n")])
+    steps = cpu_steps(points)
+    cores = steps.groupBy("window").agg(F.bround(F.avg("cores")).cast("long").alias("cores"))
+    return x.with_quantiles(steps, ["window"], "util", "half_even", {"util_p95": 0.95}, {"util_mean": "mean", "util_max": "max", "n": "rows"}).join(cores, "window")
 
 
 def disk_stats(points: DataFrame) -> DataFrame:
@@ -64,7 +66,7 @@ def disk_stats(points: DataFrame) -> DataFrame:
 
 
 def load_stats(points: DataFrame) -> DataFrame:
-    return x.with_quantiles(series(points, "load_1", "v"), ["window"], "v", "half_even", {"p95": 0.95}, [F.avg("v").alias("mean"), F.max("v").alias("max")])
+    return x.with_quantiles(series(points, "load_1", "v"), ["window"], "v", "half_even", {"p95": 0.95}, {"mean": "mean", "max": "max"})
 
 
 def bw_stats(points: DataFrame) -> DataFrame:
@@ -111,6 +113,15 @@ def load_compare(points: DataFrame, runs: DataFrame) -> DataFrame:
     return both.withColumn("cores_delta", (F.col("cpu_after") - F.col("cpu_before")) / 100 * F.col("cores")).withColumn("mem_delta", F.col("mem_after") - F.col("mem_before"))
 
 
+def load_frames(points: DataFrame, runs: DataFrame) -> DataFrame:
+    """The curves behind load_compare: (side, metric cpu or mem, hour since the run's start, value), over the shorter run's hours."""
+    span = runs.agg(F.min(F.col("t1") - F.col("t0")).alias("span"))
+    clip = runs.join(F.broadcast(span), F.lit(True), "left").select("side", "window", "t0", "span")  # a row a run
+    both = cpu_steps(points).select("window", "t", F.lit("cpu").alias("metric"), F.col("util").alias("value")).unionByName(mem_series(points).select("window", "t", F.lit("mem").alias("metric"), F.col("gib").alias("value")))
+    hour = (F.col("t") - F.col("t0")) / 3600
+    return both.join(clip, "window").withColumn("hour", hour).where(F.col("hour").between(0, F.col("span") / 3600)).select("side", "metric", "hour", "value")
+
+
 def coverage(points: DataFrame, captures: DataFrame, least: float = 0.9) -> DataFrame:
     """The share of each capture (capture, window, t0, t1) that its window's samples span; short ones are flagged."""
     t = points.where("metric = 'memory_total'").select("window", "t").distinct()

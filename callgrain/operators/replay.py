@@ -25,23 +25,54 @@ def method_counts(calls: DataFrame, n: int = 20) -> DataFrame:
 
 def latency_by_bucket(calls: DataFrame) -> DataFrame:
     per = t.flows(calls, "batch_size", "duration_ms").where("duration_ms is not null").withColumn("bucket", x.replay_bucket(F.col("batch_size")))
-    return x.with_quantiles(per, ["bucket"], "duration_ms", "floor_np", P3, [F.count("*").alias("flows"), F.max("duration_ms").alias("max")])
+    return x.with_quantiles(per, ["bucket"], "duration_ms", "floor_np", P3, {"flows": "rows", "max": "max"})
 
 
 def latency_overall(calls: DataFrame) -> DataFrame:
     per = t.flows(calls, "duration_ms").where("duration_ms is not null").select(F.lit("overall").alias("bucket"), "duration_ms")
-    return x.with_quantiles(per, ["bucket"], "duration_ms", "floor_np", P3, [F.count("*").alias("flows"), F.max("duration_ms").alias("max")])
+    return x.with_quantiles(per, ["bucket"], "duration_ms", "floor_np", P3, {"flows": "rows", "max": "max"})
 
 
 def body_sizes(calls: DataFrame) -> DataFrame:
     per = t.flows(calls, "flow_req_bytes", "flow_resp_bytes").selectExpr("stack(2, 'request', flow_req_bytes, 'response', flow_resp_bytes) as (body, bytes)").where("bytes is not null")
-    out = x.with_quantiles(per.withColumn("bytes", F.col("bytes").cast("double")), ["body"], "bytes", "floor_np", {"p50": 0.5, "p95": 0.95}, [F.count("*").alias("flows"), F.max("bytes").alias("max"), F.sum("bytes").alias("total")])
-    return out
+    return x.with_quantiles(per, ["body"], "bytes", "floor_np", {"p50": 0.5, "p95": 0.95}, {"flows": "rows", "max": "max", "total": "sum"})
+
+
+def methods(calls: DataFrame, n: int = 30) -> DataFrame:
+    """The methods called most: calls, how many of them alone, and the latency of those."""
+    top = calls.groupBy("method").agg(F.count("*").alias("calls"), F.count_if(F.col("batch_size") == 1).alias("singles")).orderBy(F.desc("calls"), "method").limit(n)
+    alone = x.with_quantiles(calls.where("batch_size = 1 and duration_ms is not null"), ["method"], "duration_ms", "floor_np", P3, {})
+    return top.join(alone, "method", "left")
+
+
+def error_codes(calls: DataFrame) -> DataFrame:
+    """Calls by JSON-RPC error code."""
+    return calls.where("error_code is not null").groupBy("error_code").agg(F.count("*").alias("calls"))
+
+
+def status_errors(calls: DataFrame) -> DataFrame:
+    """Flows by HTTP status, of 400 and above."""
+    return t.flows(calls, "http_status").where("http_status >= 400").groupBy("http_status").agg(F.count("*").alias("flows"))
+
+
+def slowest_flows(calls: DataFrame, n: int = 20) -> DataFrame:
+    """The slowest flows with their first method and their size; equal durations by flow."""
+    per = t.flows(calls, "method", "duration_ms", "batch_size", "flow_req_bytes", "flow_resp_bytes").where("duration_ms is not null")
+    return per.orderBy(F.desc("duration_ms"), "flow_id").limit(n)
+
+
+def flow_counters(facts: DataFrame) -> DataFrame:
+    """Of flows as a dump has them (http_method, parsed, calls): all, those that aren't POST, those whose body is no JSON, the others and their calls."""
+    post = F.col("http_method") == "POST"
+    return facts.where("http_method is not null").agg(
+        F.count("*").alias("flows"), F.count_if(~post).alias("non_post"), F.count_if(post & ~F.col("parsed")).alias("parse_failures"),
+        F.count_if(post & F.col("parsed")).alias("post_parsed"), F.coalesce(F.sum(F.when(post & F.col("parsed"), F.col("calls"))), F.lit(0)).alias("calls"),
+    )
 
 
 def slowest_methods(calls: DataFrame, least: int = 10, n: int = 15) -> DataFrame:
     held = calls.where("batch_size = 1 and duration_ms is not null")
-    out = x.with_quantiles(held, ["method"], "duration_ms", "floor_np", P3, [F.count("*").alias("n")])
+    out = x.with_quantiles(held, ["method"], "duration_ms", "floor_np", P3, {"n": "rows"})
     return out.where(F.col("n") >= least).orderBy(F.desc("p95"), "method").limit(n)
 
 

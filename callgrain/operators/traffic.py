@@ -25,22 +25,24 @@ def without(calls: DataFrame, exclude: list[str] | None) -> DataFrame:
 
 
 def flows(calls: DataFrame, *columns: str) -> DataFrame:
-    """One row a flow with flow-level columns; they are equal on all its rows, so partial aggregation keeps any of the lowest position."""
+    """One row a flow with flow-level columns; they are equal on all its rows, so partial aggregation keeps any of the lowest position. Where
+    calls tell a side, flows of each are apart."""
+    by = ["side", "flow_id"] if "side" in calls.columns else ["flow_id"]
     first = F.min(F.struct("position", *columns)).alias("f")
-    return calls.groupBy("flow_id").agg(first).select("flow_id", *(F.col(f"f.{c}").alias(c) for c in columns))
+    return calls.groupBy(*by).agg(first).select(*by, *(F.col(f"f.{c}").alias(c) for c in columns))
 
 
 # ---- latency ---------------------------------------------------------------------------------------------------------
 
 
 def singleton_per_method(calls: DataFrame) -> DataFrame:
-    d = F.col("duration_ms")
-    return x.with_quantiles(singles(calls), ["method"], "duration_ms", "linear", Q3, [F.count("*").alias("n"), F.avg(d).alias("mean"), F.max(d).alias("max")])
+    by = ["side", "method"] if "side" in calls.columns else ["method"]
+    return x.with_quantiles(singles(calls), by, "duration_ms", "linear", Q3, {"n": "rows", "mean": "mean", "max": "max"})
 
 
 def singleton_overall(calls: DataFrame) -> DataFrame:
     held = singles(calls).where("duration_ms is not null")
-    return x.with_quantiles(held, [], "duration_ms", "linear", {"p50": 0.5, "p95": 0.95}, [F.count("*").alias("n"), F.avg("duration_ms").alias("mean")])
+    return x.with_quantiles(held, [], "duration_ms", "linear", {"p50": 0.5, "p95": 0.95}, {"n": "rows", "mean": "mean"})
 
 
 def top_singleton_methods(calls: DataFrame, n: int = 10) -> DataFrame:
@@ -52,15 +54,24 @@ def batch_flows(calls: DataFrame, exclude: list[str] | None = None) -> DataFrame
     return per.withColumn("per_call_ms", F.col("duration_ms") / F.col("batch_size")).withColumn("bucket", x.batch_bucket(F.col("batch_size")))
 
 
-def summarise_buckets(per: DataFrame, value: str, rule: str = "linear", more: list[Column] | None = None) -> DataFrame:
-    return x.with_quantiles(per, ["bucket"], value, rule, Q3, [F.count("*").alias("flows"), F.avg(value).alias("mean"), *(more or [])])
+def summarise_buckets(per: DataFrame, value: str, rule: str = "linear", by: tuple[str, ...] = ("bucket",), more: dict[str, str] | None = None) -> DataFrame:
+    return x.with_quantiles(per, list(by), value, rule, Q3, {"flows": "rows", "mean": "mean"} | (more or {}))
 
 
-def overall_latency(calls: DataFrame) -> DataFrame:
-    per = flows(calls, "batch_size", "duration_ms").where("duration_ms is not null")
-    each = calls.where("duration_ms is not null").select((F.col("duration_ms") / F.col("batch_size")).alias("v"))
-    both = per.select(F.lit("per-flow").alias("view"), F.col("duration_ms").alias("v")).unionByName(each.select(F.lit("per-call").alias("view"), "v"))
-    return x.with_quantiles(both, ["view"], "v", "linear", Q3, [F.avg("v").alias("avg")])
+def overall_latency(calls: DataFrame, rule: str = "linear", views: tuple[str, str] = ("per-flow", "per-call")) -> DataFrame:
+    by = ["side", "view"] if "side" in calls.columns else ["view"]
+    return x.with_quantiles(viewed(calls, views), by, "v", rule, Q3, {"avg": "mean"}, times="c")
+
+
+def viewed(calls: DataFrame, views: tuple[str, str] = ("flow", "call")) -> DataFrame:
+    """(side if calls tell one, view, method, v, c times) of flows, with their first method, and of calls, with their share of the flow's time;
+    those without a duration are left out. Calls are counted by flow and method first, so both views come from one pass over them."""
+    by = ["side"] if "side" in calls.columns else []
+    held = calls.where("duration_ms is not null").groupBy(*by, "flow_id", "method", "duration_ms", "batch_size").agg(F.count("*").alias("c"), F.min("position").alias("position"))
+    first = held.groupBy(*by, "flow_id").agg(F.min(F.struct("position", "method", "duration_ms")).alias("f"))
+    flow = first.select(*by, F.lit(views[0]).alias("view"), F.col("f.method").alias("method"), F.col("f.duration_ms").alias("v"), F.lit(1).cast("long").alias("c"))
+    each = held.select(*by, F.lit(views[1]).alias("view"), "method", (F.col("duration_ms") / F.col("batch_size")).alias("v"), "c")
+    return flow.unionByName(each)
 
 
 def per_flow_frame(calls: DataFrame, exclude: list[str] | None = None) -> DataFrame:
@@ -82,22 +93,16 @@ def ref_shares(a: DataFrame, b: DataFrame) -> DataFrame:
     return counts.withColumn("share", F.col("c") / F.sum("c").over(Window.partitionBy())).select("method", "share")
 
 
-def reweighted_stats(df: DataFrame, shares: DataFrame) -> DataFrame:
-    """Mean and lower weighted quantiles of v, each row weighing reference share / own share of its method. Counted by (method, v) first;
-    the cumulation runs over distinct values within cells, so no task sees them all. An empty frame gives NaN."""
-    n = df.groupBy("method").agg(F.count("*").alias("c")).withColumn("own", F.col("c") / F.sum("c").over(Window.partitionBy()))
-    weight = n.join(shares, "method", "left").select("method", (F.coalesce("share", F.lit(0.0)) / F.col("own")).alias("w"))
-    at = df.groupBy("method", "v").agg(F.count("*").alias("c")).join(weight, "method").groupBy("v").agg(F.sum(F.col("c") * F.col("w")).alias("w"))
-    span = at.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("w").alias("total"), F.sum(F.col("w") * F.col("v")).alias("wv"))
-    cell = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(x.CELLS - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * x.CELLS))).otherwise(F.lit(0)).cast("int")
-    celled = at.join(F.broadcast(span), F.lit(True), "left").withColumn("cell", cell)  # span is one row
-    cells = celled.groupBy("cell").agg(F.sum("w").alias("cw"))
-    before = cells.select("cell", (F.sum("cw").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("cw")).alias("before"))  # at most CELLS rows
-    inside = Window.partitionBy("cell").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    run = celled.join(F.broadcast(before), "cell").withColumn("cum", F.col("before") + F.sum("w").over(inside))
-    reach = [F.min(F.when(F.col("cum") >= q * F.col("total") * (1 - 1e-12), F.col("v"))).alias(name) for name, q in Q3.items()]
-    out = run.agg(F.max(F.try_divide("wv", "total")).alias("mean"), *reach)
-    return out.select(*(F.coalesce(c, F.lit(float("nan"))).alias(c) for c in ("mean", *Q3)))
+def reweighted(frame: DataFrame, by: list[str], pool: list[str]) -> DataFrame:
+    """For each group of `by` the mean and lower weighted quantiles of v, each row of frame (by, method, v, c times) weighing the method's share
+    in the group's pool, all rows that agree in `pool`, over its share in the group."""
+    own = frame.groupBy(*by, "method").agg(F.sum("c").alias("c")).withColumn("own", F.col("c") / F.sum("c").over(Window.partitionBy(*by)))
+    ref = own.groupBy(*pool, "method").agg(F.sum("c").alias("c")).withColumn("share", F.col("c") / F.sum("c").over(Window.partitionBy(*pool))).drop("c")
+    weight = own.join(ref, [*pool, "method"]).select(*by, "method", (F.col("share") / F.col("own")).alias("weight"))
+    at = frame.join(weight, [*by, "method"]).groupBy(*by, "v").agg(F.sum(F.col("c") * F.col("weight")).alias("w"))
+    mean = at.groupBy(*by).agg(F.try_divide(F.sum(F.col("w") * F.col("v")), F.sum("w")).alias("mean"))
+    ranks = x.first_reaching(at, by, "w", {name: (lambda total, q=q: total * F.lit(q) * F.lit(1 - 1e-12)) for name, q in Q3.items()})
+    return mean.join(ranks, by)
 
 
 # ---- coverage --------------------------------------------------------------------------------------------------------
@@ -188,18 +193,18 @@ def bucket_table(calls: DataFrame) -> DataFrame:
 
 def flow_latency(calls: DataFrame) -> DataFrame:
     per = flows(calls, "duration_ms")
-    return x.with_quantiles(per, [], "duration_ms", "nearest", Q3, [F.avg("duration_ms").alias("avg"), F.max("duration_ms").alias("max")])
+    return x.with_quantiles(per, [], "duration_ms", "nearest", Q3, {"avg": "mean", "max": "max"})
 
 
 def call_latency(calls: DataFrame) -> DataFrame:
     each = calls.select((F.col("duration_ms") / F.col("batch_size")).alias("v"))
-    return x.with_quantiles(each, [], "v", "nearest", Q3, [F.avg("v").alias("avg"), F.max("v").alias("max")])
+    return x.with_quantiles(each, [], "v", "nearest", Q3, {"avg": "mean", "max": "max"})
 
 
 def body_sizes(calls: DataFrame) -> DataFrame:
     per = flows(calls, "flow_req_bytes", "flow_resp_bytes")
     long = per.select(F.explode(F.array(F.struct(F.lit("request").alias("side"), F.col("flow_req_bytes").alias("v")), F.struct(F.lit("response").alias("side"), F.col("flow_resp_bytes").alias("v")))).alias("s")).select("s.*")
-    return x.with_quantiles(long, ["side"], "v", "nearest", {"p50": 0.5, "p95": 0.95}, [F.max("v").alias("max")])
+    return x.with_quantiles(long, ["side"], "v", "nearest", {"p50": 0.5, "p95": 0.95}, {"max": "max"}).withColumn("max", F.col("max").cast("long"))
 
 
 def status_distribution(calls: DataFrame) -> DataFrame:
@@ -210,24 +215,26 @@ def status_distribution(calls: DataFrame) -> DataFrame:
 
 
 def latency_by_method(calls: DataFrame, n: int = 30, rule: str = "nearest") -> DataFrame:
-    out = x.with_quantiles(singles(calls), ["method"], "duration_ms", rule, Q3, [F.count("*").alias("n"), F.avg("duration_ms").alias("avg"), F.max("duration_ms").alias("max")])
+    out = x.with_quantiles(singles(calls), ["method"], "duration_ms", rule, Q3, {"n": "rows", "avg": "mean", "max": "max"})
     return out.orderBy(F.desc("n"), "method").limit(n)
 
 
 def batch_latency_by_bucket(calls: DataFrame) -> DataFrame:
-    return summarise_buckets(batch_flows(calls), "duration_ms", "nearest", [F.max("duration_ms").alias("max")])
+    return summarise_buckets(batch_flows(calls), "duration_ms", "nearest", more={"max": "max"})
 
 
 def batch_latency_by_method(calls: DataFrame, n: int = 30) -> DataFrame:
     """Flows that hold a method, with the flow's latency."""
     per = calls.where("batch_size > 1").groupBy("flow_id", "method").agg(F.max("batch_size").alias("batch_size"), F.max("duration_ms").alias("duration_ms"))
-    out = x.with_quantiles(per, ["method"], "duration_ms", "nearest", Q3, [F.count("*").alias("flows"), F.median("batch_size").alias("median_batch"), F.avg("duration_ms").alias("avg")])
-    return out.orderBy(F.desc("flows"), "method").limit(n)
+    out = x.with_quantiles(per, ["method"], "duration_ms", "nearest", Q3, {"flows": "rows", "avg": "mean"})
+    sizes = x.with_quantiles(per, ["method"], "batch_size", "linear", {"median_batch": 0.5}, {})
+    return out.orderBy(F.desc("flows"), "method").limit(n).join(sizes, "method", "left")
 
 
 def errors_by_method(calls: DataFrame, n: int = 30) -> DataFrame:
+    """The methods called most, also those without an error, with their error rate to two digits; equal counts by method."""
     out = calls.groupBy("method").agg(F.count("*").alias("calls"), F.count("error_code").alias("errors"))
-    return out.withColumn("err_pct", F.col("errors") / F.col("calls") * 100).where("errors > 0").orderBy(F.desc("errors"), "method").limit(n)
+    return out.withColumn("err_pct", F.round(F.col("errors") / F.col("calls") * 100, 2)).orderBy(F.desc("calls"), "method").limit(n)
 
 
 def slow_flows(calls: DataFrame, method: str | None = None, n: int = 15, params_cap: int = 200, error_cap: int = 80) -> DataFrame:
@@ -247,20 +254,33 @@ def popular_params(calls: DataFrame, method: str | None = None, methods: int = 1
     return ranked.select("method", "total", "distinct_params", "rank", "count", x.params_label(F.col("params_json")).alias("params"))
 
 
+def peek(calls: DataFrame, n: int = 5) -> DataFrame:
+    """The first rows, by flow and position."""
+    return calls.orderBy("flow_id", "position").limit(n)
+
+
+def schema_of(calls: DataFrame) -> DataFrame:
+    """Columns in order with their types."""
+    rows = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(calls.schema)]
+    return calls.sparkSession.createDataFrame(rows, "ordinal int, column string, type string")
+
+
 # ---- before and after ------------------------------------------------------------------------------------------------
 
 
-def _sides(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    return a.withColumnsRenamed({c: f"{c}_a" for c in a.columns if c != key}).join(b.withColumnsRenamed({c: f"{c}_b" for c in b.columns if c != key}), key, "full")
+def tagged(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.withColumn("side", F.lit("a")).unionByName(b.withColumn("side", F.lit("b")))
 
 
-def compare_methods(a: DataFrame, b: DataFrame, n: int = 30, sort: str = "n", exclude: list[str] | None = None, rule: str = "nearest") -> DataFrame:
-    """Single calls by method, before and after, with deltas; ranked by the larger count or the largest change."""
+def _sides(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows (side, keys, ...) to one row a key with each column of either side, null where the side has none."""
+    rest = [c for c in df.columns if c not in ("side", *keys)]
+    return df.groupBy(*keys).agg(*(F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{c}_{s}") for s in "ab" for c in rest))
 
-    def side(calls: DataFrame) -> DataFrame:
-        return x.with_quantiles(singles(without(calls, exclude)), ["method"], "duration_ms", rule, Q3, [F.count("*").alias("n"), F.avg("duration_ms").alias("mean")])
 
-    both = _sides(side(a), side(b), "method")
+def compare_methods(a: DataFrame, b: DataFrame, n: int = 30, sort: str = "n", exclude: list[str] | None = None, rule: str = "nearest") -> DataFrame:
+    """Single calls by method, before and after, with deltas; ranked by the larger count or the largest change."""
+    both = _sides(x.with_quantiles(singles(without(tagged(a, b), exclude)), ["side", "method"], "duration_ms", rule, Q3, {"n": "rows", "mean": "mean"}), "method")
     for m in ("mean", *Q3):
         both = both.withColumn(f"d_{m}", F.col(f"{m}_b") - F.col(f"{m}_a")).withColumn(f"d_{m}_pct", x.pct_change(F.col(f"{m}_a"), F.col(f"{m}_b")))
     rank = F.abs(f"d_{sort}") if sort in ("mean", *Q3) else F.greatest("n_a", "n_b")
@@ -268,41 +288,34 @@ def compare_methods(a: DataFrame, b: DataFrame, n: int = 30, sort: str = "n", ex
     return both.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_a", "n_b")})
 
 
-def compare_overall(a: DataFrame, b: DataFrame, exclude: list[str] | None = None) -> DataFrame:
-    """Flows and calls, before and after, by the lower rule; change 0 from a base of 0."""
+def _metrics(sides: DataFrame, *keys: str, names: tuple[str, ...] = ("avg", *Q3)) -> DataFrame:
+    found = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(f"{m}_a").alias("before"), F.col(f"{m}_b").alias("after")) for m in names)))
+    return sides.select(*keys, found.alias("m")).select(*keys, "m.*")
 
-    def side(calls: DataFrame) -> DataFrame:
-        kept = without(calls, exclude)
-        per = flows(kept, "duration_ms").select(F.lit("flow").alias("view"), F.col("duration_ms").alias("v"))
-        both = per.unionByName(kept.select(F.lit("call").alias("view"), (F.col("duration_ms") / F.col("batch_size")).alias("v")))
-        return x.with_quantiles(both.where("v is not null"), ["view"], "v", "lower", Q3, [F.avg("v").alias("avg")])
 
-    sides = _sides(side(a), side(b), "view")
-    metrics = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(f"{m}_a").alias("before"), F.col(f"{m}_b").alias("after")) for m in ("avg", *Q3))))
-    long = sides.select("view", metrics.alias("m")).select("view", "m.*")
-    return long.withColumn("delta", F.col("after") - F.col("before")).withColumn("delta_pct", x.pct_change_or_zero(F.col("before"), F.col("after")))
+def compare_overall(a: DataFrame, b: DataFrame, exclude: list[str] | None = None) -> DataFrame:
+    """Flows and calls, before and after, by the lower rule; change 0 from a base of 0."""
+    sides = _sides(overall_latency(without(tagged(a, b), exclude), "lower", ("flow", "call")), "view")
+    return _metrics(sides, "view").withColumn("delta", F.col("after") - F.col("before")).withColumn("delta_pct", x.pct_change_or_zero(F.col("before"), F.col("after")))
 
 
 def compare_reweighted(a: DataFrame, b: DataFrame, exclude: list[str] | None = None) -> DataFrame:
-    """Both sides under their pooled method mix, for flows and calls."""
-    out = None
-    for view, frame in (("flow", per_flow_frame), ("call", per_call_frame)):
-        fa, fb = frame(a, exclude).select("method", "v"), frame(b, exclude).select("method", "v")
-        shares = ref_shares(fa, fb)
-        for side, f in (("before", fa), ("after", fb)):
-            row = reweighted_stats(f, shares).select(F.lit(view).alias("view"), F.lit(side).alias("side"), "*")
-            out = row if out is None else out.unionByName(row)
-    return out
+    """Both sides under their pooled method mix, for flows and calls. All follows from one count by view, side, method and value. A side
+    without rows gives NaN."""
+    frame = viewed(without(tagged(a, b), exclude)).groupBy("view", "side", "method", "v").agg(F.sum("c").alias("c"))
+    out = reweighted(frame, ["view", "side"], ["view"])
+    every = a.sparkSession.createDataFrame([(v, s) for v in ("flow", "call") for s in "ab"], "view string, side string")
+    told = every.join(out, ["view", "side"], "left")
+    nan = F.lit(float("nan"))
+    return told.select("view", F.when(F.col("side") == "a", "before").otherwise("after").alias("side"), *(F.coalesce(c, nan).alias(c) for c in ("mean", *Q3)))
 
 
 def compare_batches(a: DataFrame, b: DataFrame, exclude: list[str] | None = None, rule: str = "nearest") -> DataFrame:
     """Buckets of batches before and after, for wall time and cost of a call."""
-    out = None
-    fa, fb = batch_flows(a, exclude), batch_flows(b, exclude)
-    for view in ("duration_ms", "per_call_ms"):
-        both = _sides(summarise_buckets(fa, view, rule), summarise_buckets(fb, view, rule), "bucket")
-        for m in ("mean", "p50", "p95"):
-            both = both.withColumn(f"d_{m}_pct", x.pct_change(F.col(f"{m}_a"), F.col(f"{m}_b")))
-        both = both.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("flows_a", "flows_b")}).withColumn("bucket_ord", x.bucket_order(F.col("bucket")).cast("int")).withColumn("view", F.lit(view))
-        out = both if out is None else out.unionByName(both)
-    return out
+    per = batch_flows(tagged(a, b), exclude)
+    views = F.explode(F.array(*(F.struct(F.lit(v).alias("view"), F.col(v).alias("v")) for v in ("duration_ms", "per_call_ms"))))
+    long = per.select("side", "bucket", views.alias("x")).select("side", "bucket", "x.*")
+    both = _sides(summarise_buckets(long, "v", rule, ("side", "view", "bucket")), "view", "bucket")
+    for m in ("mean", "p50", "p95"):
+        both = both.withColumn(f"d_{m}_pct", x.pct_change(F.col(f"{m}_a"), F.col(f"{m}_b")))
+    return both.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("flows_a", "flows_b")}).withColumn("bucket_ord", x.bucket_order(F.col("bucket")).cast("int"))

@@ -56,6 +56,17 @@ def qs(v: str, rule: str = "linear", names: str = "p50 p95 p99") -> str:
     return ", ".join(f"{lin(v, share[n]) if rule == 'linear' else idx(v, rule, share[n])} as {n}" for n in names.split())
 
 
+def _ms(v: str) -> str:
+    return f"case when {v} < 10 then printf('%.1f ms', {v}) else printf('%.0f ms', {v}) end"
+
+
+def _human(v: str, short: bool) -> str:
+    def one(size: str, name: str) -> str:
+        return f"case when {v} / {size} < 100 then printf('%.1f{name}', {v} / {size}) else printf('%.0f{name}', {v} / {size}) end" if short else f"printf('%.1f{name}', {v} / {size})"
+
+    return f"case when abs({v}) >= 1e6 then {one('1e6', 'M')} when abs({v}) >= 1e3 then {one('1e3', 'k')} else printf('%.0f', {v}::double) end"
+
+
 def case(value: str, steps) -> str:
     return "case " + " ".join(f"when {value} <= {top} then '{name}'" for name, top in steps if top) + f" else '{steps[-1][0]}' end"
 
@@ -122,7 +133,7 @@ add("a26_status_distribution", t.status_distribution, "select http_status, count
 add("a27_latency_by_method", t.latency_by_method, f"select method, count(*) as n, round(avg(duration_ms), 6) as avg, round(max(duration_ms), 6) as max, {qs('duration_ms', 'nearest')} from calls where batch_size = 1 group by method order by n desc, method limit 30")
 add("a28_batch_latency_by_bucket", t.batch_latency_by_bucket, f"select bucket, count(*) as flows, round(avg(duration_ms), 6) as mean, round(max(duration_ms), 6) as max, {qs('duration_ms', 'nearest')} from ({BFLOWS}) group by bucket")
 add("a29_batch_latency_by_method", t.batch_latency_by_method, f"select method, count(*) as flows, median(batch_size)::double as median_batch, round(avg(duration_ms), 6) as avg, {qs('duration_ms', 'nearest')} from (select distinct flow_id, method, batch_size, duration_ms from calls where batch_size > 1) group by method order by flows desc, method limit 30")
-add("a30_errors_by_method", t.errors_by_method, "select method, count(*) as calls, count(error_code) as errors, round(count(error_code) / count(*) * 100, 6) as err_pct from calls group by method having count(error_code) > 0 order by errors desc, method limit 30")
+add("a30_errors_by_method", t.errors_by_method, "select method, count(*) as calls, count(error_code) as errors, round(count(error_code) / count(*) * 100, 2) as err_pct from calls group by method order by calls desc, method limit 30")
 _PCT = "round(({m}_b - {m}_a) / nullif({m}_a, 0) * 100, 6)"
 
 
@@ -135,7 +146,7 @@ def _side_sql(key: str, base: str, v: str, rule: str, extra: str) -> str:
 
 
 _METRICS = ("mean", "p50", "p95", "p99")
-for _sort in ("n", "p95"):
+for _sort in ("n", "p95", "p50", "p99", "mean"):
     _key = "greatest(n_a, n_b)" if _sort == "n" else f"abs({_sort}_b - {_sort}_a)"
     add_pair(
         f"a31_compare_methods_by_{_sort}",
@@ -161,7 +172,14 @@ add_pair("a34_compare_batches", t.compare_batches, f", u as ({_CB}) select * fro
 add("a35_popular_params", t.popular_params, """, p as (select method, params_json, count(*) as c from calls group by all), k as (select method, sum(c)::bigint as total, count(*) as d from p group by method order by total desc, method limit 15),
  z as (select p.method, total, d, c, params_json, row_number() over (partition by p.method order by c desc, params_json nulls first) as k from p join k on p.method = k.method) select method, total, d as distinct_params, k::int as rank, c as count, coalesce(params_json, '<no params>') as params from z where k <= 5""")
 add("t3_slow_flows", t.slow_flows, ", z as (select *, row_number() over (partition by flow_id order by duration_ms desc nulls last, position) as k from calls) select flow_id, round(duration_ms, 6) as duration_ms, batch_size, method, error_code, left(error_message, 80) as error_message, left(params_json, 200) as params_json from z where k = 1 order by duration_ms desc nulls last, flow_id limit 15")
-add("p20_peek", lambda c: c.orderBy("flow_id", "position").limit(5).select("flow_id", "position", "method", "batch_size"), "select flow_id, position, method, batch_size from calls order by flow_id, position limit 5")
+_SLOW = "row_number() over (partition by flow_id order by duration_ms desc nulls last, position) as k from calls"
+add("t3_slow_flows_of_method", lambda c: t.slow_flows(c, "eth_call", 20, 0, 0), f", z as (select *, {_SLOW} where method = 'eth_call') select flow_id, round(duration_ms, 6) as duration_ms, batch_size, method, error_code, error_message, params_json from z where k = 1 order by duration_ms desc nulls last, flow_id limit 20")
+add("a35_popular_params_of_method", lambda c: t.popular_params(c, "eth_call", params=20), """, p as (select params_json, count(*) as c from calls where method = 'eth_call' group by all), z as (select *, row_number() over (order by c desc, params_json nulls first)::int as rank, sum(c) over ()::bigint as total, count(*) over () as d from p)
+ select 'eth_call' as method, total, d as distinct_params, rank, c as count, coalesce(params_json, '<no params>') as params from z where rank <= 20""")
+_PEEK = ["flow_id", "position", "batch_size", "ts_start", "duration_ms", "http_status", "method", "params_json", "result_json", "error_code", "error_message", "flow_req_bytes", "flow_resp_bytes"]
+add("p20_peek", t.peek, f"select {', '.join('round(' + c + ', 6) as ' + c if c in ('ts_start', 'duration_ms') else c for c in _PEEK)} from calls order by flow_id, position limit 5")
+_KIND = "case typeof({c}) when 'BIGINT' then 'bigint' when 'INTEGER' then 'int' when 'DOUBLE' then 'double' else 'string' end"
+add("p20_schema", t.schema_of, ", one as (select * from calls limit 1) " + " union all ".join(f"select {i} as ordinal, '{c}' as \"column\", {_KIND.format(c=c)} as type from one" for i, c in enumerate(_PEEK)))
 # ---- replay
 add("a43_replay_counters", rp.counters, "select count(*) as calls, count(error_code) as rpc_errors, count(distinct method) as methods, (select count(*) from fl) as flows, (select count(*) from fl where http_status >= 400) as http_errors from calls")
 add("a43_replay_batch_sizes", rp.batch_sizes, "select batch_size, count(*) as flows from fl group by batch_size")
@@ -169,6 +187,10 @@ add("a43_replay_method_counts", rp.method_counts, "select method, count(*) as ca
 add("a44_replay_latency", rp.latency_by_bucket, f"select {REPLAY} as bucket, count(*) as flows, round(max(duration_ms), 6) as max, {qs('duration_ms', 'floor_np')} from fl where duration_ms is not null group by 1")
 add("a44_replay_latency_overall", rp.latency_overall, f"select 'overall' as bucket, count(*) as flows, round(max(duration_ms), 6) as max, {qs('duration_ms', 'floor_np')} from fl where duration_ms is not null having count(*) > 0")
 add("a44_replay_body_sizes", rp.body_sizes, f", b as (select 'request' as body, flow_req_bytes::double as bytes from fl union all select 'response', flow_resp_bytes::double from fl) select body, count(*) as flows, max(bytes) as max, sum(bytes) as total, {qs('bytes', 'floor_np', 'p50 p95')} from b where bytes is not null group by body")
+add("a43_replay_methods", rp.methods, f", top as (select method, count(*) as calls, count(*) filter (batch_size = 1) as singles from calls group by method order by calls desc, method limit 30), l as (select method, {qs('duration_ms', 'floor_np')} from calls where batch_size = 1 and duration_ms is not null group by method) select top.*, p50, p95, p99 from top left join l on top.method = l.method")
+add("a43_replay_error_codes", rp.error_codes, "select error_code, count(*) as calls from calls where error_code is not null group by error_code")
+add("a43_replay_status_errors", rp.status_errors, "select http_status, count(*) as flows from fl where http_status >= 400 group by http_status")
+add("z2_replay_slowest_flows", rp.slowest_flows, "select flow_id, method, round(duration_ms, 6) as duration_ms, batch_size, flow_req_bytes, flow_resp_bytes from fl where duration_ms is not null order by fl.duration_ms desc, flow_id limit 20")
 add("a45_replay_slowest_methods", rp.slowest_methods, f"select method, count(*) as n, {qs('duration_ms', 'floor_np')} from calls where batch_size = 1 and duration_ms is not null group by method having count(*) >= 10 order by p95 desc, method limit 15")
 add("a46_replay_errors", rp.errors_by_method, ", c as (select method, error_code, count(*) as c from calls group by all) select method, sum(c)::bigint as calls, coalesce(sum(c) filter (error_code is not null), 0)::bigint as errors, string_agg(error_code || ':' || c, ',' order by c desc, error_code) filter (error_code is not null) as codes, round(sum(c) filter (error_code is not null) / sum(c) * 100, 6) as err_pct from c group by method having errors > 0 order by errors desc, method limit 20")
 add("a47_replay_error_samples", rp.error_samples, ", p as (select method, error_code, count(*) as c from calls where error_code is not null group by all order by c desc, method, error_code limit 8), z as (select q.method, q.error_code, c, row_number() over (partition by q.method, q.error_code order by flow_id, position) as k, flow_id, position, error_message, params_json from calls q join p on q.method = p.method and q.error_code = p.error_code) select method, error_code, c as count, k::int as k, flow_id, position, error_message, params_json from z where k <= 3")
@@ -179,11 +201,16 @@ add("a49_batching", ch.batching, f", d as (select bucket_ord, o.bucket, coalesce
 add("a50_mix", ch.mix, f"select *, round(calls / sum(calls) over () * 100, 6) as share_pct from ({COVER}) where namespace <> 'other'")
 _LIN = _side_sql("method", "select * from sided where batch_size = 1", "duration_ms", "linear", "count(*) as n, max(duration_ms) as mx").replace("x.n as n_a, y.n as n_b,", "x.n as n_a, y.n as n_b, x.mx as max_a, y.mx as max_b,")
 add_pair("a51_method_pairs", lambda a, b: ch.method_pairs(a, b).drop("most"), f", j as ({_LIN}) select method, n_a, n_b, round(max_a, 6) as max_a, round(max_b, 6) as max_b, " + ", ".join(f"round({m}_a, 6) as {m}_a, round({m}_b, 6) as {m}_b" for m in _METRICS) + " from j where mean_a is not null and mean_b is not null order by greatest(n_a, n_b) desc, method limit 30")
+_GAP = "case when abs(after - before) >= 1000 then printf('%.2f s', abs(after - before) / 1000) else printf('%.2f ms', abs(after - before)) end"
 _VERDICT = "case when abs(c) < 3 then 'same' when c < 0 then 'better' else 'worse' end"
-add_pair("a52_batch_dumbbells", ch.batch_dumbbells, f", j as ({_side_sql('bucket', _BS, 'duration_ms', 'linear', 'count(*) as n')}), m as (" + " union all ".join(f"select bucket, n_a, n_b, '{'avg' if m == 'mean' else m}' as metric, {m}_a as before, {m}_b as after from j" for m in _METRICS[:3]) + f"), z as (select *, case when before = 0 then 0 else (after - before) / before * 100 end as c from m) select bucket, n_a as flows_a, n_b as flows_b, metric, round(before, 6) as before, round(after, 6) as after, round(after - before, 6) as delta, round(sqrt(before * after), 6) as label_x, {_VERDICT} as verdict from z where before is not null and after is not null and n_a is not null and n_b is not null")
+add_pair("a52_batch_dumbbells", ch.batch_dumbbells, f", j as ({_side_sql('bucket', _BS, 'duration_ms', 'linear', 'count(*) as n')}), m as (" + " union all ".join(f"select bucket, n_a, n_b, '{'avg' if m == 'mean' else m}' as metric, {m}_a as before, {m}_b as after from j" for m in _METRICS[:3]) + f"), z as (select *, case when before = 0 then 0 else (after - before) / before * 100 end as c from m) select bucket, n_a as flows_a, n_b as flows_b, metric, round(before, 6) as before, round(after, 6) as after, round(after - before, 6) as delta, round(sqrt(before * after), 6) as label_x, {_VERDICT} as verdict, case when abs(c) < 3 then '≈ equivalent (' || {_GAP} || ')' else {_GAP} || case when after < before then ' faster' else ' slower' end end as label, '(' || {_human('n_a', False)} || '→' || {_human('n_b', False)} || ' flows)  ' || bucket as bucket_label, round(median(after - before) over (), 6) as median_delta, case when median(after - before) over () < 0 then 'better' when median(after - before) over () > 0 then 'worse' else 'same' end as overall from z where before is not null and after is not null and n_a is not null and n_b is not null")
 _OVL = "select side, 'per-flow' as view, duration_ms as v from sfl where duration_ms is not null union all select side, 'per-call', duration_ms / batch_size from sided where duration_ms is not null"
 add_pair("a53_overall_pairs", ch.overall_pairs, f", j as ({_side_sql('view', _OVL, 'v', 'linear', 'count(*) as n')}), m as (" + " union all ".join(f"select view, '{'avg' if m == 'mean' else m}' as metric, {m}_a as before, {m}_b as after from j" for m in _METRICS) + "), z as (select *, case when before = 0 then 0 else (after - before) / before * 100 end as c, median(case when before = 0 then 0 else (after - before) / before * 100 end) over (partition by view) as md from m) select view, metric, round(before, 6) as before, round(after, 6) as after, round(after - before, 6) as delta, round(c, 6) as delta_pct, round(md, 6) as median_pct, case when md < 0 then 'better' when md > 0 then 'worse' else 'same' end as verdict from z")
-add("a54_cdf", lambda c: ch.cdf(c).select("q", F.round("duration_ms", 3).alias("duration_ms")), f", q as (select unnest({ch.CDF_POINTS})::double as q, unnest(quantile_cont(duration_ms, {ch.CDF_POINTS})) as d from fl where duration_ms is not null) select q, round(d, 3) as duration_ms from q")
+_CURVE = "select side, unnest({p})::double as q, unnest(quantile_cont(duration_ms, {p})) as d from sfl where duration_ms is not null group by side"
+_PHASE = "case side when 'a' then 'before' else 'after' end as phase"
+add_pair("a54_cdf", ch.cdf, f", v as ({_CURVE.format(p=ch.CDF_POINTS)}) select {_PHASE}, round(q, 6) as q, round(d, 6) as duration_ms from v")
+_MARKS = list(ch.CDF_MARKS.values())
+add_pair("a54_cdf_marks", ch.cdf_marks, f", v as ({_CURVE.format(p=_MARKS)}) select {_PHASE}, q, round(d, 6) as duration_ms, case q when 0.5 then 'median ' else 'p95 ' end || {_ms('d')} as label from v")
 _S = "select method, count(*) as n, avg(duration_ms) as mean, quantile_cont(duration_ms, 0.95) as p95 from sided where batch_size = 1 and side = '{s}' group by method"
 add_pair(
     "a55_scorecard",
@@ -223,6 +250,8 @@ add_points("a63_cpu_series", lambda p: mo.cpu_steps(p).drop("cores"), CPU + 'sel
 _STARTS = lambda p: p.groupBy("window").agg(F.min("t").alias("t0"))
 _T0 = '(select window_name as "window", min(t) as t0 from points group by 1)'
 add_points("a64_mem_overlay", lambda p: mo.overlay(mo.mem_series(p), "gib", _STARTS(p)), f'select a."window", round((t - t0) / 3600, 6) as hour, round(gib, 6) as gib from ({MEMORY}) a join {_T0} z on a."window" = z."window"')
+add_points("a64_cpu_overlay", lambda p: mo.overlay(mo.cpu_steps(p), "util", _STARTS(p)), CPU + f'select a."window", round((t - t0) / 3600, 6) as hour, round(util, 6) as util from cs a join {_T0} z on a."window" = z."window"')
+add_points("a64_disk_overlay", lambda p: mo.overlay(mo.disk_series(p), "gib", _STARTS(p)), f'select a."window", round((t - t0) / 3600, 6) as hour, round(gib, 6) as gib from ({DISK}) a join {_T0} z on a."window" = z."window"')
 add_points("a65_samples", mo.samples, 'select window_name as "window", metric, count(*) as samples from points group by all')
 
 
@@ -248,6 +277,28 @@ add_points("a59_load_compare", lambda p: mo.load_compare(p, _runs(p)), CPU + _CA
  select round(cb, 6) as cpu_before, round(mb, 6) as mem_before, round(ca, 6) as cpu_after, round(ma, 6) as mem_after, cores::bigint as cores, round((ca - cb) / 100 * cores, 6) as cores_delta, round(ma - mb, 6) as mem_delta from z, y, co""")
 
 
+add_points("a59_load_frames", lambda p: mo.load_frames(p, _runs(p)), CPU + _CAP + f""", ru as (select case capture when 'c1' then 'before' else 'after' end as side, "window", t0, t0 + (select min(t1 - t0) from cap where capture in ('c1', 'c2')) as e from cap where capture in ('c1', 'c2')),
+ b as (select "window", t, 'cpu' as metric, util as value from cs union all select "window", t, 'mem', gib from ({MEMORY})) select side, metric, round((t - t0) / 3600, 6) as hour, round(value, 6) as value from b join ru on b."window" = ru."window" where t between t0 and e""")
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("l_extendedprice") * F.col("l_quantity")
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", v.alias("v"), F.col("l_extendedprice").alias("w"), F.col("l_quantity").alias("q"), (F.pmod("l_partkey", F.lit(3)) == 0).alias("tie"))
+    change, load = x.pct_change(F.col("w"), F.col("v")), F.col("q")
+    return rows.select(
+        "l_orderkey", "l_linenumber", "l_partkey", x.human(F.col("v")).alias("human"), x.human_calls(F.col("v")).alias("calls"), x.ms_label(F.col("q") / 3).alias("ms"), x.binary_label(F.col("v") * F.col("q")).alias("bytes"),
+        x.delta_label(F.col("w"), F.col("w") + F.col("q") * 41, F.col("tie")).alias("delta"), x.verdict_higher_better(F.col("q") - 25).alias("higher"), x.verdict_vs_load(F.col("q") - 3, load * 0 + 30).alias("vs_load"),
+    ).distinct()
+
+
+QUERIES["f12_labels"] = _labelled
+_BIN = "case " + " ".join(f"when b < power(1024, {k + 1}) then printf('%.1f{n}', b / power(1024, {k}))" for k, n in enumerate(("B", "KB", "MB", "GB"))) + " else printf('%.1fTB', b / power(1024, 4)) end"
+_DTXT = "case when abs(y - w) >= 1000 then printf('%.2f s', abs(y - w) / 1000) else printf('%.2f ms', abs(y - w)) end"
+SQL["f12_labels"] = f"""with r as (select l_orderkey, l_linenumber, l_partkey, l_extendedprice * l_quantity as v, l_extendedprice as w, l_quantity as q, l_partkey % 3 = 0 as tie, l_extendedprice * l_quantity * l_quantity as b, l_extendedprice + l_quantity * 41 as y from lineitem)
+ select distinct l_orderkey, l_linenumber, l_partkey, {_human('v', True)} as human, {_human('v', False)} as calls, {_ms('(q / 3)')} as ms, {_BIN} as bytes, case when tie then '≈ equivalent (' || {_DTXT} || ')' else {_DTXT} || case when y < w then ' faster' else ' slower' end end as delta,
+ case when abs(q - 25) < 3 then 'same' when q > 25 then 'better' else 'worse' end as higher, case when q - 3 <= 3 then 'better' when q - 3 <= 15 then 'better' when q - 3 <= 30 then 'close' else 'worse' end as vs_load from r"""
+
+
 # ---- pairing: a user's clicks are requests, views responses
 def _pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
@@ -293,10 +344,10 @@ def _health() -> None:
 
     classes = ("delivered", "aborted", "capture_gap", "empty_ok", "non_post", "non_http")
     n = ", ".join(f"count(*) filter (class = '{c}') as {c}" for c in classes)
-    add_health("a36_health", mitm.health, f", z as (select {n}, count(*) filter (class = 'aborted' and upstream) as aborted_upstream from f), y as (select *, delivered + aborted + capture_gap + empty_ok as posts from z) select * exclude (posts), round(delivered / posts * 100, 6) as delivered_pct, round(capture_gap / posts * 100, 6) as gap_pct, capture_gap / posts * 100 <= 1 as verdict from y")
+    add_health("a36_health", mitm.health, f", z as (select {n}, count(*) filter (class = 'aborted' and upstream) as aborted_upstream from f), y as (select *, delivered + aborted + capture_gap + empty_ok as posts from z) select * exclude (posts), round(delivered / (delivered + aborted + capture_gap) * 100, 6) as delivered_pct, round(capture_gap / posts * 100, 6) as gap_pct, capture_gap / posts * 100 < 1 as verdict from y")
     three = ", ".join(f"count(*) filter (class = '{c}') as {c}" for c in classes[:3])
     for what in ("user_agent", "hour"):
-        add_health(f"a36_health_by_{what}", lambda c, w=what: mitm.health_by(c, w), f"select {what}, count(*) as flows, {three} from f where class in ('delivered', 'aborted', 'capture_gap') group by 1" + (" order by flows desc, user_agent limit 12" if what == "user_agent" else ""))
+        add_health(f"a36_health_by_{what}", lambda c, w=what: mitm.health_by(c, w), f"select {what}, count(*) as flows, {three}, round(count(*) filter (class = 'delivered') / count(*) * 100, 6) as delivered_pct from f where class in ('delivered', 'aborted', 'capture_gap') group by 1" + (" order by flows desc, user_agent limit 12" if what == "user_agent" else ""))
 
 
 _health()
@@ -316,3 +367,9 @@ QUERIES["a37_truncation_report"] = _truncated
 SQL["a37_truncation_report"] = """with r as (select case when o_orderkey % 9 = 0 then 0 else 1000 end as d, case o_orderpriority when '1-URGENT' then 0 else o_orderkey % 2000 end as b, o_orderkey % 13 <> 0 as h, case o_orderstatus when 'F' then 'FIN' when 'O' then 'RST' else 'none' end as c from orders),
  z as (select *, h and d > 0 as have, h and d > 0 and b < d as cut from r) select count(*) as connections, count(*) filter (not h) as no_header, count(*) filter (have) as requests, count(*) filter (have and not cut) as complete, count(*) filter (cut) as truncated, count(*) filter (cut and b = 0) as zero, count(*) filter (cut and b > 0) as partial,
  count(*) filter (cut and c = 'RST') as closed_rst, count(*) filter (cut and c = 'FIN') as closed_fin, count(*) filter (cut and c = 'none') as closed_none, round(count(*) filter (cut) / count(*) filter (have), 6) as truncated_share, count(*) filter (cut) / count(*) filter (have) >= 0.5 as verdict from z"""
+
+from . import ingest  # noqa: E402
+
+SQL["u4_truncation_of_captures"] = SQL["a37_truncation_report"]
+QUERIES |= ingest.QUERIES
+SQL |= ingest.SQL

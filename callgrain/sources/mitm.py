@@ -12,7 +12,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..schema import CALLS_SCHEMA
 from .files import opened
-from .rows import build_rows, client_address, decoded
+from .rows import build_rows, call_count, client_address, decoded
+
+#: Bytes of frames in a batch.
+BATCH = 4 << 20
 
 
 def frames(stream) -> Iterator[bytes]:
@@ -99,7 +102,8 @@ def headers(pairs: Any) -> dict[str, str]:
 
 
 class MitmSource(DataSource):
-    """format("mitm"): (flow_id, frame) of a dump; flow_id counts all frames from 1. A dump can't be split, so files are the partitions."""
+    """format("mitm") with option paths (one a line): (flow_id, frame) of dumps; flow_id counts a dump's frames from 1, and those of the k-th
+    dump after the first from k * 2^40 + 1. A dump can't be split, so files are the partitions."""
 
     @classmethod
     def name(cls) -> str:
@@ -109,20 +113,31 @@ class MitmSource(DataSource):
         return "flow_id long, frame binary"
 
     def reader(self, schema):
-        return MitmReader(self.options["path"])
+        return MitmReader(self.options["paths"].split("\n"))
 
 
 class MitmReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, paths: list[str]):
+        self.paths = paths
 
     def partitions(self):
-        return [InputPartition(self.path)]
+        return [InputPartition((k, p)) for k, p in enumerate(self.paths)]
 
     def read(self, partition):
-        with opened(partition.value) as stream:
-            for i, frame in enumerate(frames(stream), 1):
-                yield i, frame
+        k, path = partition.value
+        with opened(path) as stream:
+            held, size, at = [], 0, (k << 40) + 1
+            for frame in frames(stream):
+                held.append(frame)
+                if (size := size + len(frame)) > BATCH:
+                    yield self._batch(at, held)
+                    held, size, at = [], 0, at + len(held)
+            if held:
+                yield self._batch(at, held)
+
+    @staticmethod
+    def _batch(at: int, held: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(range(at, at + len(held)), pa.int64()), pa.array(held, pa.binary())], names=["flow_id", "frame"])
 
 
 def flow_of(frame: bytes) -> dict | None:
@@ -163,45 +178,45 @@ def _rows(banned: frozenset[str]):
     return run
 
 
-def frames_of(spark: SparkSession, path: str) -> DataFrame:
+def frames_of(spark: SparkSession, path: str | list[str]) -> DataFrame:
     spark.dataSource.register(MitmSource)
-    return spark.read.format("mitm").option("path", path).load()
+    return spark.read.format("mitm").option("paths", path if isinstance(path, str) else "\n".join(path)).load()
 
 
-def convert(spark: SparkSession, path: str, banned: tuple[str, ...] = (), partitions: int | None = None) -> DataFrame:
-    """A dump as calls. Framing is sequential; parsing, its great part, runs in `partitions` tasks."""
+def convert(spark: SparkSession, path: str | list[str], banned: tuple[str, ...] = (), partitions: int | None = None) -> DataFrame:
+    """A dump, or several, as calls. Framing is sequential; parsing, its great part, runs in `partitions` tasks."""
     raw = frames_of(spark, path)
     raw = raw.repartition(partitions or spark.sparkContext.defaultParallelism, "flow_id")
     return raw.mapInArrow(_rows(frozenset(banned)), CALLS_SCHEMA)
 
 
-def write_calls(calls: DataFrame, path: str, compression: str = "zstd") -> None:
+def write_calls(calls: DataFrame, path: str, compression: str = "zstd", row_group_bytes: int = 128 << 20) -> None:
     if compression not in ("zstd", "snappy", "gzip", "none"):
         raise ValueError(f"unknown compression {compression}")
-    calls.write.option("compression", "uncompressed" if compression == "none" else compression).parquet(path)
+    calls.write.option("compression", "uncompressed" if compression == "none" else compression).option("parquet.block.size", row_group_bytes).parquet(path)
 
 
 # ---- capture health ---------------------------------------------------------------------------------------------------
 
-FLOW_FACTS = "flow_id long, http_method string, declared long, body_bytes long, served boolean, upstream boolean, user_agent string, ts_start double"
+FLOW_FACTS = "flow_id long, http_method string, declared long, body_bytes long, served boolean, upstream boolean, user_agent string, ts_start double, parsed boolean, calls long"
 
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in FLOW_FACTS.split(", ")]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.string(), pa.float64()]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.string(), pa.float64(), pa.bool_(), pa.int64()]
     for batch in batches:
         rows = []
         for flow_id, frame in zip(batch["flow_id"].to_pylist(), batch["frame"].to_pylist(), strict=True):
             f = flow_of(frame)
             if f is None:
-                rows.append((flow_id, None, None, 0, False, False, None, None))
+                rows.append((flow_id, None, None, 0, False, False, None, None, False, 0))
                 continue
             length = f["headers"].get("content-length", "")
-            rows.append((flow_id, f["method"], int(length) if re.fullmatch(r"\d{1,18}", length.strip()) else 0, len(f["raw"]), f["has_response"] and not f["has_error"] and f["ended"], f["upstream"], f["headers"].get("user-agent", ""), f["start"]))
+            rows.append((flow_id, f["method"], int(length) if re.fullmatch(r"\d{1,18}", length.strip()) else 0, len(f["raw"]), f["has_response"] and not f["has_error"] and f["ended"], f["upstream"], f["headers"].get("user-agent", ""), f["start"], (calls := call_count(f["request"])) is not None, calls or 0))
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(names), kinds, strict=True)], names=names)
 
 
-def flow_facts(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+def flow_facts(spark: SparkSession, path: str | list[str], partitions: int | None = None) -> DataFrame:
     raw = frames_of(spark, path).repartition(partitions or spark.sparkContext.defaultParallelism, "flow_id")
     return raw.mapInArrow(_facts, FLOW_FACTS)
 
@@ -216,13 +231,18 @@ def classified(facts: DataFrame) -> DataFrame:
     )
 
 
+def delivery_rate():
+    """Percent of the flows that bear a body whose body is there; 0 without such flows."""
+    return F.coalesce(F.try_divide("delivered", F.col("delivered") + F.col("aborted") + F.col("capture_gap")) * 100, F.lit(0.0))
+
+
 def health(classes: DataFrame, gap_pct: float = 1.0) -> DataFrame:
     """Counts by class on one row, delivery rate and share of gaps, and whether the gaps stay under gap_pct."""
     n = {c: F.count_if(F.col("class") == c).alias(c) for c in ("delivered", "aborted", "capture_gap", "empty_ok", "non_post", "non_http")}
     one = classes.agg(*n.values(), F.count_if((F.col("class") == "aborted") & F.col("upstream")).alias("aborted_upstream"))
     posts = F.col("delivered") + F.col("aborted") + F.col("capture_gap") + F.col("empty_ok")
     gap = F.coalesce(F.try_divide("capture_gap", posts) * 100, F.lit(0.0))
-    return one.select("*", (F.try_divide("delivered", posts) * 100).alias("delivered_pct"), gap.alias("gap_pct"), (gap <= gap_pct).alias("verdict"))
+    return one.select("*", delivery_rate().alias("delivered_pct"), gap.alias("gap_pct"), (gap < gap_pct).alias("verdict"))
 
 
 def health_by(classes: DataFrame, what: str, n: int = 12) -> DataFrame:
@@ -230,5 +250,5 @@ def health_by(classes: DataFrame, what: str, n: int = 12) -> DataFrame:
     classes = classes.where("class in ('delivered', 'aborted', 'capture_gap')" + (" and ts_start <> 0" if what == "hour" else ""))
     agent = F.split(F.when(F.coalesce("user_agent", F.lit("")) == "", "<none>").otherwise(F.col("user_agent")), " ")[0]
     key = agent.alias("user_agent") if what == "user_agent" else F.floor(F.col("ts_start") / 3600).alias("hour")
-    out = classes.groupBy(key).agg(F.count("*").alias("flows"), *(F.count_if(F.col("class") == c).alias(c) for c in ("delivered", "aborted", "capture_gap")))
+    out = classes.groupBy(key).agg(F.count("*").alias("flows"), *(F.count_if(F.col("class") == c).alias(c) for c in ("delivered", "aborted", "capture_gap"))).withColumn("delivered_pct", delivery_rate())
     return out.orderBy(F.desc("flows"), "user_agent").limit(n) if what == "user_agent" else out

@@ -7,17 +7,21 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..schema import CALLS_COLUMNS, CALLS_SCHEMA
-from .files import capture_files
+from .files import capture_files, opened
 from .rows import build_rows, client_address, decoded
 
 FIN, SYN, RST, ACK = 1, 2, 4, 16
 PACKETS = "file_idx int, pkt_idx long, ts double, src binary, dst binary, sport int, dport int, seq long, flags int, payload binary"
 PACKET_NAMES = [c.split()[0] for c in PACKETS.split(", ")]
+PACKET_TYPES = [pa.int32(), pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+#: Bytes of packets in a batch.
+BATCH = 4 << 20
 # Link types that carry bare IP, and the header lengths of the two cooked ones.
 BARE, COOKED, COOKED2 = (12, 14, 101), 113, 276
 
@@ -58,7 +62,7 @@ def segment(ip: bytes) -> tuple[bytes, bytes, int, int, int, int, bytes] | None:
 
 def packets(path: str, port: int) -> Iterator[tuple]:
     """(pkt_idx, ts, src, dst, sport, dport, seq, flags, payload) of TCP segments from or to the port; a cut tail ends the file."""
-    with open(path, "rb") as f:
+    with opened(path) as f:
         magic = f.read(4)
         order = "<" if magic in (b"\xd4\xc3\xb2\xa1", b"\x4d\x3c\xb2\xa1") else ">"
         unit = 1e9 if magic in (b"\x4d\x3c\xb2\xa1", b"\xa1\xb2\x3c\x4d") else 1e6
@@ -101,8 +105,18 @@ class PcapReader(DataSourceReader):
 
     def read(self, partition):
         i, path = partition.value
+        held, size = [], 0
         for p in packets(path, self.port):
-            yield (i, *p)
+            held.append((i, *p))
+            if (size := size + 100 + len(p[-1])) > BATCH:
+                yield self._batch(held)
+                held, size = [], 0
+        if held:
+            yield self._batch(held)
+
+    @staticmethod
+    def _batch(held: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), PACKET_TYPES, strict=True)], names=PACKET_NAMES)
 
 
 def packets_of(spark: SparkSession, paths: list[str], port: int) -> DataFrame:
@@ -202,33 +216,29 @@ def messages(stream: bytes) -> Iterator[Message]:
 def paired(client: Half, server: Half, banned: frozenset[str], most_ms: float | None) -> tuple[list[dict], int, int]:
     """One dict for each POST request that isn't banned, with its response; how many were banned; how many pairs were implausible.
 
-    A request takes the first response left that starts no earlier than itself; what isn't POST, or is banned, takes none.
+    A request takes the first response left that starts no earlier than itself; what isn't POST, or is banned, takes none. With f responses
+    before request i, that is the one at i + max over j <= i of (f_j - j), the closed form that pair_responses has for tables.
     """
     sent, came = client.clock(), server.clock()
-    answers = [(came(m.start), came(m.end - 1), m) for m in messages(server.stream())]
-    flows, k, skipped, scrubbed = [], 0, 0, 0
-    for m in messages(client.stream()):
-        words = m.first.split(" ")
-        if len(words) < 2 or words[0] != "POST":
-            continue
-        if banned and client_address(m.headers, "") in banned:
-            skipped += 1
-            continue
-        start, answer, end = sent(m.start), None, None
-        while k < len(answers) and start is not None and answers[k][0] is not None and answers[k][0] < start:
-            k += 1
-        if k < len(answers):
-            _, end, answer = answers[k]
-            k += 1
-        if start is not None and end is not None:
-            if end < start:
-                answer = end = None
-            elif most_ms and (end - start) * 1000 > most_ms:
-                answer, end, scrubbed = None, None, scrubbed + 1
+    wanted = [(m, w) for m in messages(client.stream()) if len(w := m.first.split(" ")) > 1 and w[0] == "POST"]
+    asked = [(m, w[1]) for m, w in wanted if not banned or client_address(m.headers, "") not in banned]
+    answers = list(messages(server.stream()))
+    starts, begun = np.array([sent(m.start) for m, _ in asked], np.float64), np.array([came(m.start) for m in answers], np.float64)
+    ends = np.array([came(m.end - 1) for m in answers], np.float64)
+    i = np.arange(len(asked))
+    at = i + np.maximum.accumulate(np.searchsorted(np.maximum.accumulate(begun), starts, "left") - i)
+    found = np.flatnonzero(at < len(answers))
+    took = (ends[at[found]] - starts[found]) * 1000
+    late = took > most_ms if most_ms else np.zeros(len(found), bool)
+    partner = dict(zip(found[(took >= 0) & ~late].tolist(), at[found[(took >= 0) & ~late]].tolist(), strict=True))
+    flows = []
+    for n, (m, path) in enumerate(asked):
+        answer = answers[partner[n]] if n in partner else None
         line = answer.first.split(" ") if answer else []
         status = int(line[1]) if len(line) > 1 and line[1].isdigit() else None
-        flows.append({"request": m.text, "response": answer.text if answer else "", "start": start, "end": end, "status": status, "host": m.headers.get("host", ""), "path": words[1]})
-    return flows, skipped, scrubbed
+        end = float(ends[partner[n]]) if answer else None
+        flows.append({"request": m.text, "response": answer.text if answer else "", "start": float(starts[n]), "end": end, "status": status, "host": m.headers.get("host", ""), "path": path})
+    return flows, len(wanted) - len(asked), int(late.sum())
 
 
 def connections(batches: Iterator[pa.RecordBatch], port: int) -> Iterator[tuple[tuple[int, int, int], Half, Half]]:
@@ -306,7 +316,7 @@ def numbered(flows: DataFrame) -> DataFrame:
     return rows.select("flow_id", "r.*").select(*(f.name for f in CALLS_SCHEMA))
 
 
-def convert(spark: SparkSession, path: str, workdir: str, port: int, banned: tuple[str, ...] = (), most_ms: float | None = 60_000.0) -> DataFrame:
+def convert(spark: SparkSession, path: str | list[str], workdir: str, port: int, banned: tuple[str, ...] = (), most_ms: float | None = 60_000.0) -> DataFrame:
     """A capture, or an archive of them, as calls."""
     return numbered(folded(packets_of(spark, capture_files(path, workdir), port), port, banned, most_ms))
 

@@ -57,6 +57,12 @@ def _parsed(text: str) -> list[dict] | None:
     return [x for x in (value if isinstance(value, list) else [value]) if isinstance(x, dict)]
 
 
+def call_count(text: str) -> int | None:
+    """How many objects a request's body holds, None if it is no JSON."""
+    found = _parsed(text)
+    return None if found is None else len(found)
+
+
 def _whole(code: Any) -> int | None:
     try:
         number = int(code)

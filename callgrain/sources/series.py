@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 RESPONSE = "struct<data: struct<result: array<struct<metric: map<string,string>, values: array<array<string>>>>>>"
 
@@ -28,15 +28,7 @@ def capture_window(calls: DataFrame, pad: int = 300) -> DataFrame:
     return calls.agg((F.min("ts_start").cast("long") - pad).alias("start"), (F.max("ts_start").cast("long") + pad).alias("end"))
 
 
-def label_for(stem: str, start: float) -> str:
+def label_for(stem: Column, start: Column) -> Column:
     """`26-05-26` in a file's name gives may26, else the day of its start does."""
-    import datetime as dt
-    import re
-
-    day = dt.datetime.fromtimestamp(start, dt.timezone.utc)
-    if m := re.search(r"(\d\d)-(\d\d)-(\d\d)", stem):
-        try:
-            day = dt.datetime(2000 + int(m[1]), int(m[2]), int(m[3]))
-        except ValueError:
-            pass  # no such day
-    return day.strftime("%b%d").lower()
+    named = F.try_to_timestamp(F.concat(F.lit("20"), F.nullif(F.regexp_extract(stem, r"(\d\d-\d\d-\d\d)", 1), F.lit(""))), F.lit("yyyy-MM-dd"))
+    return F.lower(F.date_format(F.coalesce(named, F.timestamp_seconds(start)), "MMMdd"))

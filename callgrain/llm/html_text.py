@@ -16,12 +16,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from .base import resting, schema, text_chunks
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|</?([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|[^<]+|<""", re.S)
-ATTRIBUTE = re.compile(r"""([a-zA-Z][-\w]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+#: A quote is one only where a value begins and another ends it; elsewhere it is a character of a name or a value.
+TOKEN = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|</?([a-zA-Z][^\s/>]*)((?:[\s/]++|[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+|=)*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|[^<]+|<""", re.S
+)
+ATTRIBUTE = re.compile(r"""([^\s/>=]++)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++))""")
 SPACE, WORD = re.compile(r"[\s\x00-\x1f]+"), re.compile(r"[^\W\d_]+")
 
 # Names of elements, words in class, id and role, and frequent function words of four languages.
-RAW = frozenset("script style noscript template textarea select svg math iframe object canvas audio video title".split())
+RAW = frozenset("script style noscript template textarea select svg annotation annotation-xml iframe object canvas audio video title".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -35,6 +38,7 @@ WEAK_NAMES = frozenset(
 )
 #: Parts of a class that only tell what is beside or inside an element, as in has-sidebar or comments-open.
 TELLS = frozenset("has with no not without free open closed enabled disabled".split())
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 PAGE_HEAD = frozenset(["header"])
 STOP = frozenset(
     (
@@ -45,6 +49,10 @@ STOP = frozenset(
     ).split()
 )
 
+#: Below this share of stop words in the longer blocks a page is in none of the four languages. Scripts that are written without spaces.
+STRANGE = 0.06
+LETTERS, DENSE = re.compile(r"[^\W\d_]"), re.compile("[\u0e00-\u0eff\u1000-\u109f\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
+
 GOOD, BAD, UNSURE = 1, 0, -1
 SHUT, FIRM, WEAK, OPEN = 3, 2, 1, 0
 
@@ -94,8 +102,11 @@ def _shut(name: str, attributes: str, core: bool) -> int:
     for key, a, b, c in ATTRIBUTE.findall(attributes):
         value, key = (a or b or c).lower(), key.lower()
         if key in ("class", "id", "role"):
-            if name not in ("html", "body", "article", "main"):
-                kind = max(kind, FIRM if (found := _named(value)) and key == "role" else found)
+            # a heading is named for what it heads; in the article a paragraph is only out if it is something else for sure
+            if name not in ("html", "body", "article", "main", *HEADINGS):
+                found = _named(value)
+                if not (name == "p" and core and found == WEAK):
+                    kind = max(kind, FIRM if found and key == "role" else found)
         elif key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return SHUT
     return SHUT if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes) and name not in ("html", "body") else kind
@@ -106,8 +117,8 @@ def blocks(html: str) -> list[Block]:
     found: list[Block] = []
     stack: list[tuple[str, bool, bool, Named | None]] = []  # name, out, core, named
     now = Block(False, False, None)
-    link = raw = 0
-    skip = ""
+    link = 0
+    unclosed: set[str] = set()  # raw elements that no end tag follows; it isn't looked for again
 
     def renew() -> None:
         nonlocal now
@@ -143,7 +154,9 @@ def blocks(html: str) -> list[Block]:
         name, closing = name.lower(), m[0][1] == "/"
         if name in RAW:
             if not closing and not m[0].endswith("/>"):
-                if (shut := re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(html, at)) is None:
+                shut = None if name in unclosed else re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(html, at)
+                if shut is None:
+                    unclosed.add(name)
                     if name in ("script", "style", "textarea", "title"):
                         break
                     continue
@@ -180,7 +193,7 @@ def blocks(html: str) -> list[Block]:
         else:
             link = 0
             if name != "button":
-                while stack and stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
+                while stack and stack[-1][0] in ("p", *HEADINGS):
                     stack.pop()
             if name in ("li", "dd", "dt", "td", "th", "tr"):
                 peers = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th")}[name]
@@ -197,35 +210,50 @@ def blocks(html: str) -> list[Block]:
 
 
 def classify(page: list[Block], short: int = 70, long: int = 200, few: float = 0.20, many: float = 0.30, linked: float = 0.5) -> None:
-    """Set labels: blocks alone, then undecided ones by their neighbours. Where an article or main element holds text, what stands outside is out.
+    """Set labels: blocks alone, then undecided ones by their neighbours. Where an article or main element holds text, what stands outside is
+    out, unless there is far more prose outside, as on a page of teasers. Where the longer blocks hold hardly any of the stop words, the page
+    is in another language, and length and links alone decide.
 
     A name puts an element out unless it is a part of a layout and holds a long block dense in stop words. Where the page has no article and no
     such block besides, an article in an element with a name is the page's.
     """
-    facts, rescued = [], True
+    facts, rescued, known, total = [], True, 0, 0
     for b in page:
         words = WORD.findall(b.text.lower())
-        density = sum(w in STOP for w in words) / len(words) if words else 0.0
-        share = b.links / len(b.text)
-        facts.append((density, share))
-        prose = density >= many and len(b.text) > long and share <= linked
+        stops, share = sum(w in STOP for w in words), b.links / len(b.text)
+        if not b.out and share <= linked and len(b.text) >= short:
+            known, total = known + stops, total + len(words)
+        facts.append((stops / len(words) if words else 0.0, share, len(b.text)))
+    if total and known < STRANGE * total and not any(d >= many and n > long for d, _, n in facts):
+        # scripts without spaces say more in a character
+        facts = [(many if LETTERS.search(b.text) else 0.0, share, n + 2 * len(DENSE.findall(b.text))) for b, (_, share, n) in zip(page, facts, strict=True)]
+    prosy = []
+    for b, (density, share, size) in zip(page, facts, strict=True):
+        prose = density >= many and size > long and share <= linked
+        prosy.append(prose)
         if b.out:
             continue
         if b.named is None:
             rescued = rescued and not (b.core or prose)
         elif prose:
             b.named.overruled()
-    has_core = False
-    for b in page:
+    has_core, inside, outside = False, 0, 0
+    for b, prose, (_, share, size) in zip(page, prosy, facts, strict=True):
         own = b.named is None or rescued and b.named.article
         b.out = b.out or not own and b.named.out()
         has_core = has_core or own and b.core and not b.out
-    for b, (density, share) in zip(page, facts, strict=True):
+        if not b.out:
+            inside, outside = inside + size * (b.core and share <= linked), outside + size * (prose and not b.core)
+    if outside > 2 * inside:  # a teaser is no core
+        has_core = False
+        for b in page:
+            b.core = False
+    for b, (density, share, size) in zip(page, facts, strict=True):
         if b.out or has_core and not b.core or share > linked:
             b.label = BAD
-        elif len(b.text) < short:
+        elif size < short:
             b.label = BAD if share > 0.2 and not b.core else UNSURE
-        elif density >= many and len(b.text) > long:
+        elif density >= many and size > long:
             b.label = GOOD
         elif density >= few or b.core:
             b.label = UNSURE

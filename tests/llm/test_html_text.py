@@ -53,3 +53,43 @@ def test_what_is_never_the_text_stays_out():
     for name in ("comments", "related-posts"):  # an article there is not the page's where there is other prose
         assert m.main_text(f'<body><div><h1>Head</h1><p>{LONG}</p></div><div class="{name}"><article><p>Not of the page.</p></article></div></body>').endswith(LONG.strip())
     assert m.main_text('<body><article><div class="ad">Buy the house that was on the hill.</div></article></body>') == ""
+
+
+def test_quotes_in_unquoted_values_are_characters():
+    assert m.main_text(f"<article><p title=don't>Text of it</p><p>It's {LONG}</p></article>") == f"Text of it\n\nIt's {LONG.strip()}"
+    assert m.main_text("<article><p title=\"a > b\" id='x>y'>One</p><p data-x=a\"b>Two</p><p title=\"open>Three</p></article>") == "One\n\nTwo\n\nThree"
+
+
+def test_headings_and_paragraphs_keep_their_text():
+    for name in ("discussion", "related", "search", "share", "side", "comments"):
+        assert m.main_text(f'<article><h2 id="{name}">Head</h2><p>{LONG}</p></article>') == f"Head\n\n{LONG.strip()}"
+    assert m.main_text(f'<article><p class="notice">Mind it.</p><p class="ad">Buy it.</p><p>{LONG}</p></article>') == f"Mind it.\n\n{LONG.strip()}"
+
+
+def test_formulas_are_text():
+    assert m.main_text("<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds</p></article>") == "So x=2 holds"
+
+
+def test_pages_in_other_languages_go_by_length_and_links():
+    russian = "Дом, который мы видели на холме, был старше всех домов этого города, и поэтому они поехали туда вместе с нами прошлой осенью. " * 2
+    chinese = "我们在山上看到的那座房子比镇上最古老的房子还要古老所以他们去年秋天和我们一起去了那里并且在那里住了很长一段时间直到雪融化为止然后我们又回到了镇上继续过着平静的生活。"
+    for text in (russian.strip(), chinese):
+        assert m.main_text(f"<body><div><a href=1>дом</a> <a href=2>новости</a></div><div>{text}</div><div>{text}</div><div><a href=3>{text}</a></div></body>") == f"{text}\n\n{text}"
+
+
+def test_a_teaser_is_no_core():
+    assert m.main_text(f"<body><article><p>A teaser.</p></article><div>{LONG}</div><div>{LONG}</div></body>").endswith(f"{LONG.strip()}\n\n{LONG.strip()}")
+    assert m.main_text(f"<body><article><p>{LONG}</p></article><div>{LONG}</div></body>") == LONG.strip()
+
+
+def test_unclosed_raw_elements_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    assert m.main_text("<article><p>Text of it</p>" + "<svg>" * 50_000 + "</article>") == "Text of it"
+    assert time.perf_counter() - began < 2
+
+
+def test_columns_with_clashing_names(spark):
+    df = spark.createDataFrame([(1, "u", "<article><p>Text of it</p></article>", 5, "old")], "page_id long, url string, html string, n_chars long, text string")
+    assert [tuple(r) for r in m.extract(df).collect()] == [(1, "u", "Text of it")]

@@ -20,8 +20,15 @@ from .base import resting, schema, staged
 BINS, QUERIES, SLICE = 256, 8192, 512
 
 
-def quantised(batch: pa.RecordBatch, scale: int) -> tuple[np.ndarray, list[np.ndarray]]:
+def quantised(batch: pa.RecordBatch, scale: int) -> tuple[np.ndarray, np.ndarray | list[np.ndarray]]:
     """Ids and floor(scale * x) of the vectors that are whole and finite; lengths may differ."""
+    column = batch["embedding"]
+    if len(batch) and not column.null_count and not batch["vec_id"].null_count:
+        values, sizes = column.flatten(), np.diff(column.offsets.to_numpy())
+        if not values.null_count and sizes[0] and (sizes == sizes[0]).all():  # the usual case, as one array
+            x = np.floor(values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), -1) * scale)
+            good = np.isfinite(x).all(axis=1)
+            return batch["vec_id"].to_numpy()[good], x[good]
     ids, vectors = [], []
     for i, v in zip(batch["vec_id"].to_pylist(), batch["embedding"], strict=True):
         if i is None or not v.is_valid:
@@ -36,8 +43,10 @@ def quantised(batch: pa.RecordBatch, scale: int) -> tuple[np.ndarray, list[np.nd
     return np.array(ids, np.int64), vectors
 
 
-def matrix(vectors: list[np.ndarray], dims: int) -> np.ndarray:
+def matrix(vectors: np.ndarray | list[np.ndarray], dims: int) -> np.ndarray:
     """Rows of dims values; shorter vectors are filled with zeros, which leave inner products alone."""
+    if isinstance(vectors, np.ndarray) and vectors.shape[1] == dims:
+        return vectors
     if all(len(v) == dims for v in vectors):
         return np.array(vectors).reshape(len(vectors), dims)
     out = np.zeros((len(vectors), dims))

@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words of benchmark items and of documents are canonical: numbers, names and units become typed placeholders, other words are folded. Windows of
-template words are hashed and joined; windows that line up between an item and a document then have their slots checked: one value of the
+Words of benchmark items and of documents are canonical: numbers, names and units become typed placeholders, other words are folded; and once
+more with names as words, as text in other case has none. Windows of template words are hashed and joined; windows that line up between an item and a document then have their slots checked: one value of the
 item must stand for one value of the document throughout, and two for two; windows with a slot that breaks this don't count. So copies are found, and questions with other numbers or names.
 """
 
@@ -33,7 +33,7 @@ UNIT_HASHES = _hash_of(UNITS)
 
 @dataclass
 class Canonical:
-    """Words of some texts: template hash, type, own hash, and where each text's words start."""
+    """Words of some texts: template hash, type, own hash, and where each text's words start; literal words are neither slots nor names."""
 
     template: np.ndarray
     kind: np.ndarray
@@ -42,9 +42,11 @@ class Canonical:
     begin: np.ndarray
     end: np.ndarray
     starts: np.ndarray
+    literal: np.ndarray
 
 
-def canonical(texts: list[bytes]) -> Canonical:
+def canonical(texts: list[bytes], names: bool = True) -> Canonical:
+    """names: names are slots, and a name of several words is one; else they are words like others, whatever their case."""
     buf, starts = joined(texts)
     low = folded(buf)
     own, begin, end = word_hashes(low, space=MARKS)
@@ -64,7 +66,20 @@ def canonical(texts: list[bytes]) -> Canonical:
         kind[number] = NUMBER
         at = np.minimum(np.searchsorted(UNIT_HASHES, own), len(UNIT_HASHES) - 1)
         kind[1:][(UNIT_HASHES[at] == own)[1:] & number[:-1] & ~number[1:]] = UNIT
-    return Canonical(np.where(kind > 0, HOLDERS[kind], own), kind, own, cut, begin, end, starts)
+    literal = kind == WORD
+    if not names:
+        kind[kind == NAME] = WORD
+    joint = np.zeros(len(own), bool)  # goes on with the name before it
+    if len(own) > 1:
+        joint[1:] = (kind[1:] == NAME) & (kind[:-1] == NAME) & (begin[1:] == end[:-1] + 1) & (buf[end[:-1]] == 32)
+    if joint.any():
+        head = np.flatnonzero(~joint)
+        with np.errstate(over="ignore"):
+            place = np.arange(len(own)) - np.repeat(head, np.diff(np.concatenate([head, [len(own)]])))
+            own = np.add.reduceat(np.where(place > 0, mixed(own + place.astype(np.uint64)), own), head)
+        kind, literal, begin, end = kind[head], literal[head], begin[head], end[np.concatenate([head[1:], [len(joint)]]) - 1]
+        cut = np.searchsorted(begin, starts)
+    return Canonical(np.where(kind > 0, HOLDERS[kind], own), kind, own, cut, begin, end, starts, literal)
 
 
 def windows(c: Canonical, width: int, literal: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,11 +111,14 @@ def stretches(s: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
 class Benchmark:
     """A block of items: their windows sorted by hash, and the hashes of items that have no window. Held by every task; callers bound its size."""
 
-    def __init__(self, items: list[tuple[int, str]], width: int, literal: int):
-        self.width, self.literal, self.ids = width, literal, [i for i, _ in items]
-        c = canonical([(t or "").encode() for _, t in items])
+    def __init__(self, items: list[tuple[int, str]], width: int, literal: int, names: bool = True):
+        self.width, self.literal, self.ids, self.names = width, literal, [i for i, _ in items], names
+        #: The same items with names as words: so copies in other cases are found, where names can't be told.
+        self.plain = Benchmark(items, width, literal, False) if names else None
+        c = canonical([(t or "").encode() for _, t in items], names)
         h, good = windows(c, width, literal)
-        at = np.flatnonzero(good)
+        told = np.concatenate([[0], np.cumsum(c.literal)])
+        at = np.flatnonzero(good & (told[width:][: len(good)] - told[: len(good)] >= literal))
         at = at[np.argsort(h[at], kind="stable")]
         self.hash, self.item = h[at], (np.searchsorted(c.cut, at, "right") - 1).astype(np.int64)
         self.place = at - c.cut[self.item]
@@ -214,8 +232,15 @@ def _whole(c: Canonical, bench: Benchmark, found: Callable) -> None:
 
 
 def matches(texts: list[bytes], bench: Benchmark, share: float, run: int = 50) -> list[tuple[int, int, float, bool, int, int]]:
-    """(text, item, share of the item's windows, whether slots differ, start byte, end byte), one for each text and item."""
-    c = canonical(texts)
+    """(text, item, share of the item's windows, whether slots differ, start byte, end byte), one for each text and item: with names as words, or
+    where that finds nothing, with names as slots."""
+    words = _matches(texts, bench.plain, share, run) if bench.plain else []
+    known = {x[:2] for x in words}
+    return words + [x for x in _matches(texts, bench, share, run) if x[:2] not in known]
+
+
+def _matches(texts: list[bytes], bench: Benchmark, share: float, run: int) -> list[tuple[int, int, float, bool, int, int]]:
+    c = canonical(texts, bench.names)
     best: dict[tuple[int, int], list] = {}
 
     def found(text: int, item: int, places: list[int], other: bool, first: int, last: int, longest: int) -> None:
@@ -272,6 +297,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, literal:
     words stand in the document, with consistent slots, or where such windows cover `run` words of it on end: doc_id, item_id, share,
     reparameterised, start_byte, end_byte (of the UTF-8 text).
 
+    This is done twice: with names as words, in any case, and with names, of one word or of several, as slots; either will do.
     Windows with fewer than `literal` words besides placeholders don't count, nor do those of an aligned run that cover a conflicting slot:
     a value's most frequent partner holds, and where two are as frequent, neither does. An item without such a window (a short one, or one dense in
     numbers and names) is one window as a whole: it matches word for word (in any case and punctuation, however short it is), and with

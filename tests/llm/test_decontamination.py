@@ -12,11 +12,12 @@ def run(text, items=((1, ITEM), (2, OTHER)), **more):
 
 def test_copies_and_other_slots():
     assert run(f"Before it. {ITEM} And after.") == [(1, False)]
-    assert run(ITEM.upper()) == [] or True
+    assert run(ITEM.upper()) == run(ITEM.lower()) == run(f"So: {ITEM.title()}") == [(1, False)]
     changed = ITEM.replace("12", "40").replace("Maria", "Joseph").replace("30 kg", "7 lbs").replace(" 5 ", " 9 ")
     assert run(changed) == [(1, True)]
-    mixed_up = ITEM.replace("Maria returns", "Peter returns")
-    assert run(mixed_up) == []  # one name of the item for two of the text
+    assert run(ITEM.replace("Maria returns", "Peter returns")) == [(1, False)]  # a copy but for one word: most windows stand as they are
+    for several in ("Ana Lucia", "Ana Lucia Gomez"):  # a name of other length
+        assert run(changed.replace("Joseph", several)) == [(1, True)]
     assert run(OTHER.replace(" ", "\n")) == [(2, False)]
     assert run(OTHER[:40]) == [] and run("") == []
     assert run(OTHER[: len(OTHER) * 3 // 4]) == [(2, False)]
@@ -46,7 +47,10 @@ def test_against_plain_comparison_in_blocks(spark):
         w = (t or "").split()
         return [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
 
-    want = sorted(str((d, i)) for d, t in docs for i, x in items if (g := grams(x)) and sum(y in set(grams(t)) for y in g) >= 0.5 * len(g))
+    def short(t):
+        return f" {' '.join((t or '').split())} "
+
+    want = sorted(str((d, i)) for d, t in docs for i, x in items if (short(x).strip() and not grams(x) and short(x) in short(t)) or (g := grams(x)) and sum(y in set(grams(t)) for y in g) >= 0.5 * len(g))
     df = spark.createDataFrame([(d, t, "x", "y") for d, t in docs], "doc_id long, text string, item_id string, share string").repartition(3)
     bench = spark.createDataFrame(items, "item_id long, text string")
     for most in (20_000_000, 300):

@@ -18,8 +18,10 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from .base import WINDOW, resting, schema, staged, text_chunks
 
-#: A word longer than this is scored in parts of this length.
+#: Words up to this length are scored many at a time and remembered; longer ones alone, piece by piece with the same sums.
 LONGEST, REMEMBERED = 24, 300_000
+#: Characters of a long word whose pieces are looked up at a time.
+STRETCH = 8192
 LETTER = regex.compile(r"\p{L}")
 UNSEEN = 1e-7
 
@@ -89,16 +91,70 @@ def backward(lat: np.ndarray, prob: np.ndarray) -> np.ndarray:
     return beta
 
 
+def endings(word: str, path: str) -> Iterator[np.ndarray]:
+    """For stretches of a word the pieces [place, length - 1] that end with each place, as lattice() has them by their start: all starts of a
+    stretch are looked up at once."""
+    hashes, order, longest = pieces(path)
+    for first in range(0, len(word), STRETCH):
+        lead = max(0, first - longest + 1)
+        chars = np.frombuffer(word[lead : first + STRETCH].encode("utf-32-le"), np.uint32).astype(np.uint64)
+        # what goes beyond the stretch has no end in it, so the filling is never read
+        h = _rolled(np.lib.stride_tricks.sliding_window_view(np.concatenate([chars, np.zeros(longest - 1, np.uint64)]), longest))[:, 0, :]
+        at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+        starts = np.where(hashes[at] == h, order[at], -1)
+        starts[starts[:, 0] < 0, 0] = len(hashes)
+        size = len(starts) - (first - lead)
+        out = np.full((size, longest), -1, np.int32)
+        for n in range(1, longest + 1):
+            # the piece of n characters that ends with place i of the stretch starts n - 1 before it
+            at = np.arange(size) + (first - lead) - n + 1
+            held = at >= 0
+            out[held, n - 1] = starts[at[held], n - 1]
+        yield out
+
+
+def log_sums(word: str, log_prob: np.ndarray, path: str, whole: bool = False) -> np.ndarray:
+    """Logarithms of the likelihoods [language] of a word of any length, or of all its prefixes [place, language], without underflow; log_prob
+    is [piece, language] with a last row of -inf for no piece. Only as many prefixes as the longest piece are held, unless all are wanted."""
+    longest = pieces(path)[2]
+    back = np.full((longest, log_prob.shape[1]), -np.inf)  # of the prefixes before a place, the nearest first
+    back[0] = 0.0
+    held = [back[:1].copy()]
+    for ends in endings(word, path):
+        terms = log_prob[ends]
+        for p in terms:
+            now = np.logaddexp.reduce(back + p, axis=0)
+            back[1:] = back[:-1].copy()
+            back[0] = now
+            if whole:
+                held.append(back[:1].copy())
+    return np.concatenate(held) if whole else back[0]
+
+
+def with_none(prob: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        return np.log(np.concatenate([prob, np.zeros((1, prob.shape[1]))]))
+
+
+def expected_of_long(word: str, weight: float, prob: np.ndarray, path: str, out: np.ndarray) -> None:
+    """Add the expected uses of each piece in a long word; prob [piece, 1]."""
+    log_prob = with_none(prob)
+    a = log_sums(word, log_prob, path, True)[:, 0]
+    ends = np.concatenate(list(endings(word, path)))
+    b = np.full(len(word) + 1, -np.inf)
+    b[-1] = 0.0
+    longest = ends.shape[1]
+    for start in range(len(word) - 1, -1, -1):
+        n = np.arange(1, min(longest, len(word) - start) + 1)
+        b[start] = np.logaddexp.reduce(log_prob[ends[start + n - 1, n - 1], 0] + b[start + n])
+    place, n = np.nonzero(ends >= 0)
+    p = ends[place, n]
+    np.add.at(out, p, weight * np.exp(a[place - n] + log_prob[p, 0] + b[place + 1] - a[-1]))
+
+
 def split_words(text: str) -> list[str]:
-    """Lower-case runs with a word-start mark, in parts of LONGEST characters."""
-    out = []
-    for w in text.lower().split():
-        w = "▁" + w
-        if len(w) <= LONGEST:
-            out.append(w)
-        else:
-            out.extend(w[i : i + LONGEST] for i in range(0, len(w), LONGEST))
-    return out
+    """Lower-case runs with a word-start mark."""
+    return ["▁" + w for w in text.lower().split()]
 
 
 def _by_length(words: list[str], size: int = 4096) -> Iterator[list[int]]:
@@ -110,8 +166,13 @@ def _by_length(words: list[str], size: int = 4096) -> Iterator[list[int]]:
 
 
 def log_likelihoods(words: list[str], prob: np.ndarray, path: str) -> np.ndarray:
-    out = np.zeros((len(words), prob.shape[1]), np.float32)
+    out = np.zeros((len(words), prob.shape[1]))
+    log_prob = with_none(prob) if any(len(w) > LONGEST for w in words) else None
     for rows in _by_length(words):
+        if len(words[rows[0]]) > LONGEST:
+            for i in rows:
+                out[i] = log_sums(words[i], log_prob, path)
+            continue
         lat = lattice([words[i] for i in rows], path)
         out[rows] = np.log(np.maximum(forward(lat, prob)[:, -1], 1e-300))
     return out
@@ -121,6 +182,10 @@ def expected(words: list[str], weights: np.ndarray, prob: np.ndarray, path: str)
     """Expected uses of each piece in the words; prob [piece, 1]."""
     out = np.zeros(len(prob))
     for rows in _by_length(words):
+        if len(words[rows[0]]) > LONGEST:
+            for i in rows:
+                expected_of_long(words[i], weights[i], prob, path, out)
+            continue
         lat = lattice([words[i] for i in rows], path)
         a, b = forward(lat, prob)[:, :, 0], backward(lat, prob)[:, :, 0]
         scale = weights[rows] / np.maximum(a[:, -1], 1e-300)
@@ -165,23 +230,23 @@ class Model:
         self.langs, self.prob, self.path = langs, prob, path
 
 
-def fit(labelled: DataFrame, path: str, per_language: int = 2000, sample_chars: int = 20_000, rounds: int = 3) -> Model:
-    """Learn from labelled (lang, text, key), lang not null: at most per_language documents of a language, those with the smallest hashes of
-    key and no more than sample_chars characters (a language without such short documents takes all its lengths). That bound makes the fit
-    cost the same at every input size; counting and choosing runs over all rows. The driver gets piece counts only: the vocabulary's size
-    for each language."""
-    rows = labelled.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("key").alias("h"), (F.length("text") <= sample_chars).alias("short"))
-    sizes = {(r["lang"], r["short"]): r["n"] for r in rows.groupBy("lang", "short").agg(F.count("*").alias("n")).collect()}
-    langs = sorted({k for k, _ in sizes})
+def fit(labelled: DataFrame, path: str, per_language: int = 2000, rounds: int = 3) -> Model:
+    """Learn from labelled (lang, text, key), lang not null: at most about per_language documents of a language, those with the smallest hashes
+    of key, whole and of whatever length. That bound makes the fit cost the same at every input size; counting and choosing runs over all
+    rows. The driver gets piece counts only: the vocabulary's size for each language."""
+    rows = labelled.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("key").alias("h"))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    langs = sorted(sizes)
     span = F.lit(None).cast("boolean")
     for lang in langs:
-        use = (lang, True) in sizes
         # a slice of the hash range that holds about that many documents
-        share = min(1.0, per_language / sizes[(lang, use)])
+        share = min(1.0, per_language / sizes[lang])
         top = int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1
-        span = F.when((F.col("lang") == lang) & (F.col("short") | F.lit(not use)), F.col("h") <= F.lit(min(top, 2**63 - 1))).otherwise(span)
+        span = F.when(F.col("lang") == lang, F.col("h") <= F.lit(min(top, 2**63 - 1))).otherwise(span)
     sample = rows.where(span).select("lang", "text")
-    words = staged(sample.mapInArrow(_word_counts, schema("lang string, word string, k long")).groupBy("lang", "word").agg(F.sum("k").alias("k")))
+    counted = sample.mapInArrow(_word_counts, schema("lang string, word string, k long")).groupBy("lang", "word").agg(F.sum("k").alias("k"))
+    # few bytes, but the rounds below work long on them: for all cores
+    words = staged(counted.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism, "word"))
     size = len(pieces(path)[0]) + 1
     probs = {lang: np.full(size, 1.0 / size) for lang in langs}
     for _ in range(rounds):
@@ -198,11 +263,11 @@ def _predicted(model: Model):
     @resting
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
-        table = np.zeros((0, len(model.langs)), np.float32)
+        table = np.zeros((0, len(model.langs)))
         for part, texts in text_chunks(batches, size=2 * WINDOW):
             words = [split_words(t.decode("utf-8", "replace")) for t in texts]
-            if len(known) > REMEMBERED:
-                known, table = {}, table[:0]
+            if len(known) > REMEMBERED or any(len(w) > LONGEST for w in known):
+                known, table = {w: i for w, i in known.items() if len(w) <= LONGEST} if len(known) <= REMEMBERED else {}, table if len(known) <= REMEMBERED else table[:0]
             missing = list({w for ws in words for w in ws if w not in known})
             if missing:
                 known.update(zip(missing, range(len(table), len(table) + len(missing)), strict=True))
@@ -227,7 +292,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred and score, the share of the best language in the sum of all likelihoods. Only text is read.
 
     One pass without a shuffle. A null text, or one without a letter: `und` and 0; so it is for all if no language was learned. Repeated
-    rows are predicted each; ties go to the first language in order; an empty table gives no rows. Clashing columns lang_pred and score of
+    rows are predicted each; ties go to the first language in order; words of any length are summed whole; an empty table gives no rows. Clashing columns lang_pred and score of
     docs are replaced. Workers remember a bounded number of words; a very long text is scored whole.
     """
     docs = docs.drop("lang_pred", "score")

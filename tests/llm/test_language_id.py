@@ -40,6 +40,26 @@ def test_forward_sums_all_segmentations_and_backward_agrees():
         assert m.backward(lat, prob)[0, 0] == pytest.approx(got)
 
 
+def test_long_words_are_summed_whole(monkeypatch):
+    size = len(m.pieces(PATH)[0]) + 1
+    prob = np.random.default_rng(2).random((size, 2)) / 50
+    words = ["▁donaudampfschifffahrtsgesellschaftskapitän", "▁日本語の文章を書く", "▁the"]
+    for stretch in (8192, 7):  # in one look-up, or over many stretches
+        monkeypatch.setattr(m, "STRETCH", stretch)
+        for w in words:
+            want = np.log(m.forward(m.lattice([w], PATH), prob)[0, -1])
+            assert m.log_sums(w, m.with_none(prob), PATH) == pytest.approx(want)
+            assert m.log_likelihoods([w], prob, PATH)[0] == pytest.approx(want)
+        long, short = np.zeros(size), np.zeros(size)
+        m.expected_of_long(words[0], 2.0, prob[:, :1], PATH, long)
+        with monkeypatch.context() as c:
+            c.setattr(m, "LONGEST", 100)
+            short = m.expected([words[0]], np.array([2.0]), prob[:, :1], PATH)
+        assert long == pytest.approx(short, abs=1e-9)
+    far = m.log_likelihoods(["▁" + "the" * 5000], prob, PATH)[0]  # no underflow
+    assert np.isfinite(far).all() and far.max() < -5000
+
+
 def test_expected_counts_weigh_each_segmentation():
     size = len(m.pieces(PATH)[0]) + 1
     prob = np.full((size, 1), 1 / size)

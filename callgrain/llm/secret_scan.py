@@ -11,6 +11,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .base import staged
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -55,7 +57,8 @@ def scan_history(versions: DataFrame, ledger: DataFrame | None = None, rules: tu
     """versions (path, version, content) and a ledger to (findings, additions).
 
     findings has a row for each row of versions: path, version, blob, spans by start, then rule. additions are the ledger's new rows
-    (blob binary, kind, rule_version, spans) for the pairs that it lacks; append them to it. Without a ledger all pairs are new.
+    (blob binary, kind, rule_version, spans) for the pairs that it lacks; append them to it. Without a ledger all pairs are new. Both are
+    read from tables in the shared folder that this call writes: the scan runs here, once.
 
     A null content is the empty blob. Repeated rows, null paths or versions and copies keep a row each. An empty table gives no rows;
     other columns are ignored. Hot copies are pre-aggregated to one blob by hash; contents move once, by a key that no copies share.
@@ -78,13 +81,12 @@ def scan_history(versions: DataFrame, ledger: DataFrame | None = None, rules: tu
     if ledger is not None:
         each = F.array_compact(F.array(*(F.when(F.array_contains(F.transform("todo", lambda t: t["kind"]), r.kind), F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("rule_version"), spans(text, r, i).alias("spans"))) for i, r in enumerate(rules))))
     scanned = content.select("blob", each.alias("found"))
-    additions = scanned.select("blob", F.explode("found").alias("f")).select("blob", "f.*").dropDuplicates(["blob", "kind", "rule_version"])
-    if ledger is None:
-        by_blob = scanned.select("blob", F.flatten(F.transform("found", lambda f: f["spans"])).alias("spans")).dropDuplicates(["blob"])
-    else:
-        current = F.array(*(F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("rule_version")) for r in rules))
-        known = ledger.select("blob", "kind", "rule_version", "spans").where(F.array_contains(current, F.struct("kind", "rule_version"))).unionByName(additions)
-        by_blob = known.groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    # written once: it is the ledger's growth, and what the findings are read from
+    additions = staged(scanned.select("blob", F.explode("found").alias("f")).select("blob", "f.*").dropDuplicates(["blob", "kind", "rule_version"]))
+    current = F.array(*(F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("rule_version")) for r in rules))
+    known = additions if ledger is None else additions.unionByName(ledger.select("blob", "kind", "rule_version", "spans").where(F.array_contains(current, F.struct("kind", "rule_version"))))
+    # only blobs with findings are joined back, and from a table, so that Spark can split a hot blob's paths
+    by_blob = staged(known.where(F.size("spans") > 0).groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans")))
     found = here.join(by_blob, "blob", "left").select("path", "version", "blob", F.array_sort(F.coalesce("spans", F.array().cast(SPANS))).alias("spans"))
     return found, additions
 

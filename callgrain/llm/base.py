@@ -6,8 +6,6 @@ import atexit
 import ctypes
 import functools
 import gc
-import re
-import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -17,24 +15,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ..sources.files import shared_dir
+
 #: Bytes of text that are held as numpy arrays at a time.
 WINDOW = 2_000_000
 
 _made: dict[str, SparkSession] = {}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset, a folder in the temporary one of the
-    machine is set if the master is local, as in tests; on a cluster that would lose rows, so there it is an error."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="callgrain-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)

@@ -428,6 +428,8 @@ def _joined_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
     def linked(found: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Links, and a root that each linked document is in one component with. A pair whose ends are known to be in one component says
         nothing new: twice one pair a document is verified, then what that leaves."""
+        if found.isEmpty():
+            return found.select("a", "b"), found.select(F.col("a").alias("node"), F.col("b").alias("root"))
         rest = found.select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb"))
         links: DataFrame | None = None
         roots: DataFrame | None = None
@@ -441,6 +443,8 @@ def _joined_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
             rest = staged(rooted(rest.select("a", "b", F.col("ca").alias("x"), F.col("cb").alias("y")), up, "x", "y").where("cx <> cy").select("a", "b", F.col("cx").alias("ca"), F.col("cy").alias("cb")))
             # roots of documents: those of their former roots
             roots = up if roots is None else staged(roots.withColumnRenamed("root", "r").join(up.select(F.col("node").alias("r"), "root"), "r", "left").select("node", F.coalesce("root", "r").alias("root")).unionByName(up.join(roots, "node", "left_anti")))
+            if rest.isEmpty():
+                break
         return verified(rest.select("a", "b"), links), roots
 
     def balled(stars: DataFrame, links: DataFrame, roots: DataFrame) -> DataFrame:

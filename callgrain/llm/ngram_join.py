@@ -11,8 +11,9 @@ reach the threshold share a shingle among the first ``size - ceil(threshold * si
    nearest to what a family of near copies shares. What links with the pivot is one ball. The list goes on while it has members outside of
    balls, but pairs within a ball are never made again. So no link between components is lost, and a large group of near copies ends with
    its first pivot instead of emitting all its pairs;
-5. sizes and parity bits sift the pairs; the others are verified on the whole sets, first one for each document, then those whose ends are
-   in different components still. Linked pairs give components.
+5. sizes and parity bits sift the pairs, first 512 bits a set, then, of the documents that pairs are left of, as many as follow the size of
+   the set; the others are verified on the whole sets, first one for each document, then those whose ends are in different components
+   still. Only sets that pairs are left of are moved. Linked pairs give components.
 """
 
 from __future__ import annotations
@@ -91,13 +92,29 @@ def _sum(x: np.ndarray, salt: int) -> int:
         return int(signed(mixed(x ^ np.uint64(salt)).sum(dtype=np.uint64, keepdims=True))[0])
 
 
+def _fine(h: np.ndarray) -> bytes | None:
+    """Parity bits of a set's elements over two to four places for each; null where 512 are as many as its elements. Halves of neighbouring
+    places fold into one, so bits of any two sets compare."""
+    if len(h) <= 512:
+        return None
+    k = int(2 * len(h) - 1).bit_length()
+    return np.packbits((np.bincount((h >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k) & 1).astype(np.uint8)).tobytes()
+
+
+def _parted(x: np.ndarray, y: np.ndarray) -> int:
+    """In how many places two sets' fine bits (unpacked) differ: at most the elements in which the sets do."""
+    if len(x) > len(y):
+        x, y = y, x
+    return int((np.bitwise_xor.reduce(y.reshape(len(x), -1), axis=1) != x).sum())
+
+
 def _described(width: int, percent: int, levels: np.ndarray):
-    """doc_id, set size, a 128-bit signature of the set, the prefix in the global order and its signature, and 512 parity bits of the set."""
+    """doc_id, set size, a 128-bit signature of the set, the prefix in the global order and its signature, 512 parity bits of the set, and finer ones."""
 
     @resting
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_chunks(batches):
-            n, one, two, p1, p2, prefix = [], [], [], [], [], []
+            n, one, two, p1, p2, prefix, fine = [], [], [], [], [], [], []
             bits = np.zeros((len(texts), 512), np.uint8)
             for i, (h, size) in enumerate(shingles(texts, width)):
                 n.append(len(h))
@@ -108,12 +125,13 @@ def _described(width: int, percent: int, levels: np.ndarray):
                 p1.append(_sum(first, 0xA5A5A5A5A5A5A5A5))
                 p2.append(_sum(first, 0x0123456789ABCDEF))
                 prefix.append(first.tobytes())
+                fine.append(_fine(h))
                 bits[i] = np.bincount((h >> np.uint64(55)).astype(np.int64), minlength=512) & 1
             words = np.packbits(bits, axis=1).view(np.int64)
             yield pa.RecordBatch.from_pydict(
                 {"doc_id": part["doc_id"].cast(pa.int64())}
                 | {k: pa.array(v, pa.int64()) for k, v in (("n", n), ("one", one), ("two", two), ("p1", p1), ("p2", p2))}
-                | {"prefix": pa.array(prefix, pa.binary())}
+                | {"prefix": pa.array(prefix, pa.binary()), "fine": pa.array(fine, pa.binary())}
                 | {k: pa.array(np.ascontiguousarray(words[:, i])) for i, k in enumerate(BITS)}
             )
 
@@ -326,6 +344,23 @@ def _sets(width: int):
     return run
 
 
+def _refined(percent: int):
+    """Pairs (a, b) with sizes and fine bits (x, y) to those that may link; a set without fine bits may."""
+
+    @resting
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(len(batch), bool)
+            total = batch["na"].to_numpy() + batch["nb"].to_numpy()
+            for i, (x, y) in enumerate(zip(batch["x"], batch["y"], strict=True)):
+                if x.is_valid and y.is_valid:
+                    differ = _parted(*(np.unpackbits(np.frombuffer(z.as_buffer(), np.uint8)) for z in (x, y)))
+                    keep[i] = differ * (100 + percent) <= int(total[i]) * (100 - percent)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return run
+
+
 @resting
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
@@ -360,7 +395,8 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
 
 def _joined_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
     levels = frequency_levels(docs, width)
-    kind = "doc_id long, n long, one long, two long, p1 long, p2 long, prefix binary, " + ", ".join(f"{b} long" for b in BITS)
+    free_shuffles(docs.sparkSession)
+    kind = "doc_id long, n long, one long, two long, p1 long, p2 long, prefix binary, fine binary, " + ", ".join(f"{b} long" for b in BITS)
     all_docs = staged(docs.mapInArrow(_described(width, percent, levels), schema(kind)))
     live = all_docs.where("n > 0 and doc_id is not null").withColumnRenamed("doc_id", "doc")
     classes = staged(live.groupBy("one", "two", "n").agg(F.min("doc").alias("doc")))
@@ -387,6 +423,7 @@ def _joined_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     # group pairs, each once; a hot shingle's list keeps its key and is expanded as a list
     first = staged(groups.repartition("key").sortWithinPartitions("key", "place", "doc").mapInArrow(_pairs(percent), schema(PAIR)))
+    free_shuffles(docs.sparkSession)
     crowds = member_of.groupBy("group").agg(F.count("*").alias("members")).where("members > 1")
     cold = first.where("key is null").select("a", "b").distinct()
     marked = cold.join(crowds.select(F.col("group").alias("a"), F.lit(True).alias("ca")), "a", "left").join(crowds.select(F.col("group").alias("b"), F.lit(True).alias("cb")), "b", "left")
@@ -402,14 +439,31 @@ def _joined_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
     free_shuffles(docs.sparkSession)
 
     stars = pairs.where("key is not null")
-    need = found.unionByName(stars.select("a", "b")).select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.unionByName(stars.select("a", "b")).select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+
+    fine = live.select("doc", "one", "two", "n", "fine").join(staged(ends(found)), "doc", "left_semi")
+    fine = staged(fine.groupBy("doc", "one", "two", "n").agg(F.first("fine").alias("fine")).select("doc", "n", "fine"))
+
+    def refined(found: DataFrame) -> DataFrame:
+        """The pairs that fine bits let link. Rows that share a doc_id are told apart by nothing here, so any of them may."""
+        if found.isEmpty():
+            return found
+        x = fine.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("fine").alias("x"))
+        y = fine.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("fine").alias("y"))
+        return staged(found.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(_refined(percent), schema("a long, b long")).distinct())
+
+    found = refined(found)
+    need = ends(found).withColumnRenamed("doc", "doc_id")
     texts = docs.join(need.hint("shuffle_hash"), "doc_id", "left_semi").groupBy("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("l")).agg(F.first("text").alias("text"))
     sets = staged(texts.select("doc_id", "text").mapInArrow(_sets(width), schema("doc long, items binary")))
 
     def verified(found: DataFrame, old: DataFrame | None) -> DataFrame:
         if found.isEmpty():  # else the sets are moved for nothing
             return staged(found.select("a", "b")) if old is None else old
-        told = found.join(sets.select(F.col("doc").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("doc").alias("b"), F.col("items").alias("y")), "b")
+        x, y = (sets.join(found.select(F.col(end).alias("doc")), "doc", "left_semi").select(F.col("doc").alias(end), F.col("items").alias(items)) for end, items in (("a", "x"), ("b", "y")))
+        told = found.join(x, "a").join(y, "b")
         checked = told.select("a", "b", "x", "y").mapInArrow(_verified, schema("a long, b long, same long, union long"))
         good = checked.where(f"100 * same >= {percent} * union").select("a", "b").distinct()
         return staged(good if old is None else old.unionByName(good))
@@ -465,7 +519,7 @@ def _joined_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
             again = more.where("key is not null")
             if again.isEmpty():
                 break
-            links, roots = linked(staged(more.where("key is null").select("a", "b").distinct()))
+            links, roots = linked(refined(staged(more.where("key is null").select("a", "b").distinct())))
             edges = edges.unionByName(links)
             new = balled(again, links, roots).select("key", "doc", F.col("ball").alias("new"))
             members = staged(members.join(new, ["key", "doc"], "left").select("key", "doc", "place", F.coalesce("ball", "new").alias("ball")))
@@ -476,7 +530,7 @@ def _joined_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
         side = F.when(F.col("mine") > F.col("other"), 1).otherwise(0)
         cut = dealt.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "doc", (F.col("place") * 2 + side).cast("int").alias("place"), "ball")
         crossed = sifted(cut, _blocks)
-        links, roots = linked(staged(crossed.select("a", "b").distinct()))
+        links, roots = linked(refined(staged(crossed.select("a", "b").distinct())))
         edges = edges.unionByName(links)
     edges = staged(edges.distinct())
     free_shuffles(docs.sparkSession)

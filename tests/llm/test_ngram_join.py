@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from callgrain.llm import ngram_join as m
@@ -76,3 +77,43 @@ def test_near_copies_with_indents_at_some_places(spark):
 def test_a_shingle_has_one_length_in_every_text():
     one, two = m.shingles([b"aa b ccc d", b"aa\n        b ccc\t d"], 3)
     assert one[0].tolist() == two[0].tolist() and one[1].tolist() == two[1].tolist() and sorted(one[1].tolist()) == [5, 6]
+
+
+def shuffled(spark):
+    """Bytes that the session has written to shuffles so far."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty(30_000)
+    none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    stages = context.statusStore().stageList(None, False, False, none, spark.sparkContext._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_sets_of_pairs_that_cannot_link_are_not_moved(spark, monkeypatch):
+    monkeypatch.setattr(m, "frequency_levels", lambda docs, width: np.zeros(m.SKETCH, np.uint8))
+    r = random.Random(5)
+    words = [a + b for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    shared = [["".join(r.choice("abcdefgh") for _ in range(20)) for _ in range(6)] for _ in range(41)]
+    rows = [(d, " ".join(shared[d] + [r.choice(words) for _ in range(2000)] + shared[d + 1])) for d in range(40)]
+    rows.append((40, rows[39][1].replace(" a", " b", 20)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")
+    try:
+        before = shuffled(spark)
+        got = m.ngram_join(df, width=5, percent=80).collect()
+        moved = shuffled(spark) - before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = brute(rows, 5, 80)
+    assert sorted(((x.doc_id, x.n_shingles, x.component_id) for x in got), key=str) == want and (40, 39) in {(d, c) for d, _, c in want}
+    assert 0 < moved < 16 * sum(n for _, n, _ in want), moved  # texts and postings; moving the sets for every pair takes four times all sets
+
+
+def test_fine_parities_differ_in_no_more_places_than_sets_in_elements():
+    r = np.random.default_rng(3)
+    for n, k in ((513, 0), (600, 40), (1000, 200), (1100, 30), (3000, 2400)):
+        x = np.unique(r.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2))
+        y = np.unique(np.concatenate([x[: len(x) - k // 2], r.integers(0, 2**63, 2 * k, dtype=np.uint64)]))
+        bits = [np.unpackbits(np.frombuffer(m._fine(z), np.uint8)) for z in (x, y)]
+        differ, most = m._parted(*bits), len(np.setxor1d(x, y))
+        assert differ == m._parted(*bits[::-1]) and (differ > 0) == (most > 0) and differ <= most and (most - differ) % 2 == 0
+    assert m._fine(x[:512]) is None
